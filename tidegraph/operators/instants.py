@@ -97,6 +97,12 @@ def _raw(parts: Column, p: str) -> Column:
     return F.coalesce(*got) if len(got) > 1 else got[0]
 
 
+def _let(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with the columns, computed once: no predicate or projection above is merged into them."""
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{x}`") for x in df.columns], made)
+
+
 def add_instants(rows: DataFrame, text: str, tz_name: str, day_first: str, out: str = "utc_us") -> DataFrame:
     """rows with `out`, bigint: microseconds since 1970-01-01 UTC that the text names, or null.
 
@@ -109,9 +115,9 @@ def add_instants(rows: DataFrame, text: str, tz_name: str, day_first: str, out:
     zones = F.create_map(*[F.lit(x) for n, k in ZONES.items() for x in (n, k)])
     c = lambda n: F.col("__t_" + n)
     num = lambda p: _raw(c("parts"), p).cast("int")
-    df = rows.withColumn("__t_parts", _pieces(F.col(text)))
-    # each step is a projection of its own, so that nothing is computed twice
-    df = df.withColumns(
+    df = _let(rows, {"__t_parts": _pieces(F.col(text))})
+    df = _let(
+        df,
         {f"__t_{p}": num(p) for p in "ymdpqhns"}
         | {f"__t_{p}": _raw(c("parts"), p) for p in "wzf"}
         | {
@@ -120,39 +126,40 @@ def add_instants(rows: DataFrame, text: str, tz_name: str, day_first: str, out:
             "__t_i": _raw(c("parts"), "i").cast("long"),
             "__t_e": _raw(c("parts"), "e").cast("long"),
             "__t_ok": F.get(c("parts"), F.lit(2)) == "ok",
-        }
-    )
+        },
+    ).drop("__t_parts")
     first = F.coalesce(F.col(day_first), F.lit(False))
     late, early = c("half").isin("pm", "午後", "下午", "오후"), c("half").isin("am", "午前", "上午", "오전")
     h0 = F.coalesce(c("h"), F.lit(0))
     digits = F.regexp_replace(c("z"), "[^0-9]", "")
-    df = df.withColumns(
+    df = _let(
+        df,
         {
-            "__t_Y": F.when(c("y2"), c("y") + 2000).otherwise(c("y")),
-            "__t_D": F.coalesce(c("d"), F.when(first, c("p")).otherwise(c("q"))),
-            "__t_M": F.coalesce(c("m"), F.element_at(months, c("w")), F.when(first, c("q")).otherwise(c("p"))),
-            "__t_H": F.when(late, h0 % 12 + 12).when(early, h0 % 12).otherwise(h0),
-            "__t_N": F.coalesce(c("n"), F.lit(0)),
-            "__t_S": F.coalesce(c("s"), F.lit(0)),
-            "__t_F": F.coalesce(F.rpad(F.substring(c("f"), 1, 6), 6, "0").cast("long"), F.lit(0).cast("long")),
+            "__t_uY": F.when(c("y2"), c("y") + 2000).otherwise(c("y")),
+            "__t_uD": F.coalesce(c("d"), F.when(first, c("p")).otherwise(c("q"))),
+            "__t_uM": F.coalesce(c("m"), F.element_at(months, c("w")), F.when(first, c("q")).otherwise(c("p"))),
+            "__t_uH": F.when(late, h0 % 12 + 12).when(early, h0 % 12).otherwise(h0),
+            "__t_uN": F.coalesce(c("n"), F.lit(0)),
+            "__t_uS": F.coalesce(c("s"), F.lit(0)),
+            "__t_uF": F.coalesce(F.rpad(F.substring(c("f"), 1, 6), 6, "0").cast("long"), F.lit(0).cast("long")),
             "__t_h12": F.when(c("half").isNotNull(), h0 <= 12).otherwise(F.lit(True)),
             "__t_off": F.when(
                 c("z").rlike(r"^[+-]"),
                 F.when(c("z").startswith("-"), -1).otherwise(1)
                 * (F.substring(digits, 1, 2).cast("int") * 60 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).cast("int"), F.lit(0))),
             ).otherwise(F.element_at(zones, c("z"))),
-        }
+        },
     )
-    y, m, d, h, n, s, f = (c(k) for k in "YMDHNSF")
+    y, m, d, h, n, s, f = (c("u" + k) for k in "YMDHNSF")
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     longest = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
     fine = (
         (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= longest) & n.between(0, 59) & s.between(0, 59) & c("h12")
         & (h.between(0, 23) | ((h == 24) & (n == 0) & (s == 0) & (f == 0)))
     )
-    df = df.withColumn("__t_local", F.when(fine, (((_days(y, m, d) * 24 + h) * 60 + n) * 60 + s) * F.lit(1_000_000).cast("long") + f))
+    df = _let(df, {"__t_local": F.when(fine, (((_days(y, m, d) * 24 + h) * 60 + n) * 60 + s) * F.lit(1_000_000).cast("long") + f)})
     tz = F.col(tz_name)
-    df = df.withColumn("__t_zoned", F.when(c("z").isNull() & tz.isNotNull(), F.to_utc_timestamp(F.timestamp_micros(c("local")), tz)))
+    df = _let(df, {"__t_zoned": F.when(c("z").isNull() & tz.isNotNull(), F.to_utc_timestamp(F.timestamp_micros(c("local")), tz))})
     civil = F.when(c("z").isNotNull(), c("local") - c("off").cast("long") * 60_000_000).otherwise(
         F.when(F.unix_micros(F.from_utc_timestamp(c("zoned"), tz)) == c("local"), F.unix_micros(c("zoned")))
     )
