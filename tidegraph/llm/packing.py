@@ -99,7 +99,7 @@ def pack_documents(
         group = group.sort_values(["m", "k", "piece"], ascending=[False, True, True], kind="stable")
         box = pack(group["m"].to_numpy(dtype=np.int64), capacity, classes)
         return pd.DataFrame(
-            {"k": group["k"], "piece": group["piece"], "m": group["m"], "container": (group["b"].astype("int64") << 32) + box}
+            {"k": group["k"], "piece": group["piece"], "m": group["m"], "container": group["b"].astype("int64") * 2**32 + box}
         )
 
     packed = (
