@@ -53,7 +53,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; used to check a side before a broadcast hint."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread(spark: SparkSession, rows: int, per_part: int) -> int:
