@@ -8,12 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .lookalikes import consistent_columns, disguised
 from .packing import fill_report, pack_documents
+from .survivors import build_survivors, judge_values, pick_fields
 from .tokens import count_column, decode_corpus, encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id, field_name, record_no): the record that each field of an id's survivor is taken from."""
+    return pick_fields(table(spark, d, "entities"), table(spark, d, "source_trust"))
+
+
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One row per id of two or more records, with every alias and tag judged true."""
+    return build_survivors(table(spark, d, "entities"), table(spark, d, "source_trust"))
+
+
+def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
+    """(source, sensitivity, specificity) inferred from the tags."""
+    return judge_values(table(spark, d, "entities"), table(spark, d, "source_trust"), "tags")[1]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(mention_id, field_name) of every text or normalized_text that holds disguised characters."""
+    return disguised(table(spark, d, "mentions").select("mention_id", "text", "normalized_text"), "mention_id", ["text", "normalized_text"])
+
+
+def p2_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """(mention_id, text, normalized_text) with both in the one consistent form."""
+    return consistent_columns(table(spark, d, "mentions").select("mention_id", "text", "normalized_text"), ["text", "normalized_text"])
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -42,7 +69,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p7_ids, p7_round_trip, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p7_ids, p7_round_trip, p8_containers, p8_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
