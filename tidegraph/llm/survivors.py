@@ -97,8 +97,9 @@ def judge_descriptions(records: DataFrame) -> DataFrame:
     seen = seen.select("id", "record_no", "clean", says.cast("int").alias("mask"))
     counts = {r["mask"]: r["count"] for r in seen.groupBy("mask").count().collect()}  # at most 16 rows
     masks = np.array(sorted(counts), dtype=np.int64)
+    # a witness that is silent on a text that another one knows to be empty doesn't know its kind, and abstains
     post, *_ = fit(
-        masks, np.full(len(masks), 15, dtype=np.int64), np.array([counts[m] for m in masks], dtype=float), len(WITNESSES),
+        masks, np.where(masks > 0, masks, 15), np.array([counts[m] for m in masks], dtype=float), len(WITNESSES),
         prior=0.1, sens0=0.5, spec0=ALARM, prior_sens=(2.0, 2.0), prior_spec=(total * ALARM + 1, total * (1 - ALARM) + 1e-4),
     )
     empty = [int(m) for m, p in zip(masks, post) if p > 0.5]
