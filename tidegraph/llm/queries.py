@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .lookalikes import consistent_columns, disguised
+from .near_copies import expand_pairs, groups, near_copies
 from .packing import fill_report, pack_documents
 from .survivors import build_survivors, judge_values, pick_fields
 from .tokens import count_column, decode_corpus, encode_corpus
@@ -41,6 +42,22 @@ def p2_consistent(spark: SparkSession, d: str) -> DataFrame:
     return consistent_columns(table(spark, d, "mentions").select("mention_id", "text", "normalized_text"), ["text", "normalized_text"])
 
 
+def _articles(spark: SparkSession, d: str):
+    rows = table(spark, d, "search_results").select("result_id", "title", "content")
+    return near_copies(rows, "result_id", ["title", "content"], similarity=0.5, n=3, least=20, counted="content")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """(result_a, result_b) of rows whose runs of three words are shared by at least half."""
+    pairs = expand_pairs(*_articles(spark, d), "result_id")
+    return pairs.select(F.col("x").alias("result_a"), F.col("y").alias("result_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(result_id, group_id, links): the group of each row with at least 20 words and its number of similar texts."""
+    return groups(*_articles(spark, d), "result_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -69,7 +86,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p7_ids, p7_round_trip, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p4_found, p4_groups, p7_ids, p7_round_trip, p8_containers, p8_fill)}
 
 
 def oracle_sql() -> dict[str, str]:

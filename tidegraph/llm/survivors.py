@@ -67,7 +67,7 @@ def judge_descriptions(records: DataFrame) -> DataFrame:
 
     Four witnesses say whether a text is empty of meaning; their rates are fitted over all records."""
     d = records.where(F.col("description").isNotNull() & F.col("id").isNotNull()).select(
-        "id", "record_no", squeezed(F.col("description")).alias("clean")
+        "id", "record_no", squeezed(F.col("description")).alias("clean"), F.lower("name").alias("own")
     )
     d = d.withColumn("letters", _letters(F.col("clean"))).withColumn("h", F.xxhash64(F.lower("clean")))
     total = d.count()
@@ -92,7 +92,7 @@ def judge_descriptions(records: DataFrame) -> DataFrame:
         F.when((F.col("letters") == "") | F.col("letters").isin(*STOCK), 1).otherwise(0)
         + F.when(F.lower("clean").rlike(FILLER), 2).otherwise(0)
         + F.when(F.col("many"), 4).otherwise(0)
-        + F.when(F.col("is_name"), 8).otherwise(0)
+        + F.when(F.col("is_name") | (F.levenshtein(F.lower("clean"), F.col("own"), 3) >= 0), 8).otherwise(0)
     )
     seen = seen.select("id", "record_no", "clean", says.cast("int").alias("mask"))
     counts = {r["mask"]: r["count"] for r in seen.groupBy("mask").count().collect()}  # at most 16 rows
