@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .lookalikes import consistent_columns, disguised
 from .near_copies import expand_pairs, groups, near_copies
+from .neighbours import similar_vectors
 from .packing import fill_report, pack_documents
 from .survivors import build_survivors, judge_values, pick_fields
 from .tokens import count_column, decode_corpus, encode_corpus
@@ -58,6 +59,18 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_articles(spark, d), "result_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """(record_a, record_b) of cosine 0.90 at least, one among the ten most similar of the other."""
+    got = similar_vectors(table(spark, d, "entities").select("record_no", "embedding"), "record_no", "embedding", k=10, least=0.90)
+    return got.select(F.least("record_no", "neighbour").alias("record_a"), F.greatest("record_no", "neighbour").alias("record_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """(record_no, neighbour, similarity, rank): the ten most similar records of every usable vector."""
+    got = similar_vectors(table(spark, d, "entities").select("record_no", "embedding"), "record_no", "embedding", k=10)
+    return got.withColumn("similarity", F.round("similarity", 5))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -86,7 +99,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p4_found, p4_groups, p7_ids, p7_round_trip, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p4_found, p4_groups, p5_found, p5_neighbours, p7_ids, p7_round_trip, p8_containers, p8_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
