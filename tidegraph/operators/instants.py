@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+
 # Month names by language (English, German, French, Spanish), in calendar order.
 MONTHS = (
     ("january", "jan", "januar", "janvier", "janv", "enero", "ene", "jänner"),
@@ -97,12 +99,6 @@ def _raw(parts: Column, p: str) -> Column:
     return F.coalesce(*got) if len(got) > 1 else got[0]
 
 
-def _let(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with the columns, computed once: no predicate or projection above is merged into them."""
-    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select(*[F.col(f"`{x}`") for x in df.columns], made)
-
-
 def add_instants(rows: DataFrame, text: str, tz_name: str, day_first: str, out: str = "utc_us") -> DataFrame:
     """rows with `out`, bigint: microseconds since 1970-01-01 UTC that the text names, or null.
 
@@ -115,8 +111,8 @@ def add_instants(rows: DataFrame, text: str, tz_name: str, day_first: str, out:
     zones = F.create_map(*[F.lit(x) for n, k in ZONES.items() for x in (n, k)])
     c = lambda n: F.col("__t_" + n)
     num = lambda p: _raw(c("parts"), p).cast("int")
-    df = _let(rows, {"__t_parts": _pieces(F.col(text))})
-    df = _let(
+    df = let(rows, {"__t_parts": _pieces(F.col(text))})
+    df = let(
         df,
         {f"__t_{p}": num(p) for p in "ymdpqhns"}
         | {f"__t_{p}": _raw(c("parts"), p) for p in "wzf"}
@@ -132,7 +128,7 @@ def add_instants(rows: DataFrame, text: str, tz_name: str, day_first: str, out:
     late, early = c("half").isin("pm", "午後", "下午", "오후"), c("half").isin("am", "午前", "上午", "오전")
     h0 = F.coalesce(c("h"), F.lit(0))
     digits = F.regexp_replace(c("z"), "[^0-9]", "")
-    df = _let(
+    df = let(
         df,
         {
             "__t_uY": F.when(c("y2"), c("y") + 2000).otherwise(c("y")),
@@ -157,9 +153,9 @@ def add_instants(rows: DataFrame, text: str, tz_name: str, day_first: str, out:
         (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= longest) & n.between(0, 59) & s.between(0, 59) & c("h12")
         & (h.between(0, 23) | ((h == 24) & (n == 0) & (s == 0) & (f == 0)))
     )
-    df = _let(df, {"__t_local": F.when(fine, (((_days(y, m, d) * 24 + h) * 60 + n) * 60 + s) * F.lit(1_000_000).cast("long") + f)})
+    df = let(df, {"__t_local": F.when(fine, (((_days(y, m, d) * 24 + h) * 60 + n) * 60 + s) * F.lit(1_000_000).cast("long") + f)})
     tz = F.col(tz_name)
-    df = _let(df, {"__t_zoned": F.when(c("z").isNull() & tz.isNotNull(), F.to_utc_timestamp(F.timestamp_micros(c("local")), tz))})
+    df = let(df, {"__t_zoned": F.when(c("z").isNull() & tz.isNotNull(), F.to_utc_timestamp(F.timestamp_micros(c("local")), tz))})
     civil = F.when(c("z").isNotNull(), c("local") - c("off").cast("long") * 60_000_000).otherwise(
         F.when(F.unix_micros(F.from_utc_timestamp(c("zoned"), tz)) == c("local"), F.unix_micros(c("zoned")))
     )
