@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from ..operators.components import connected_components
 from ..session import checkpoint
 
@@ -115,10 +116,12 @@ def classes(docs: DataFrame, key: str, parts: list[str], least: int = 0, counted
     """(key, cid, words): the words of the parts joined, and the class of the texts of the same words.
 
     Null parts are empty. Texts with fewer than `least` words in `counted` are left out."""
-    words = words_column(F.concat_ws(" ", *[F.coalesce(F.col(p), F.lit("")) for p in parts]))
-    out = docs.select(F.col(key), words.alias("words"), *([words_column(F.col(counted)).alias("__c")] if counted else []))
-    out = out.where(F.size(F.split("__c", " ")) >= least).drop("__c") if counted and least else out
-    return out.where("words != ''").select(key, F.xxhash64("words").alias("cid"), "words")
+    df = let(docs.select(*dict.fromkeys([key, *parts, *([counted] if counted else [])])), {f"__w_{p}": words_column(F.col(p)) for p in dict.fromkeys([*parts, *([counted] if counted else [])])})
+    df = let(df, {"__words": F.trim(F.concat_ws(" ", *[F.col(f"__w_{p}") for p in parts]))})
+    if counted and least:
+        w = F.col(f"__w_{counted}")
+        df = df.where((F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit(""))) + 1 >= least) & (w != ""))
+    return df.where("__words != ''").select(key, F.xxhash64("__words").alias("cid"), F.col("__words").alias("words"))
 
 
 def candidate_pairs(texts: DataFrame, similarity: float, n: int, tolerance: float = TOLERANCE) -> DataFrame:
@@ -201,7 +204,7 @@ def near_copies(docs: DataFrame, key: str, parts: list[str], similarity: float =
     texts are in no class; a text of fewer words than n is one run. Repeated keys stay repeated."""
     texts = classes(docs, key, parts, least, counted)
     pairs = checkpoint(candidate_pairs(texts, similarity, n, tolerance))
-    return texts.select(key, "cid"), checkpoint(verified_pairs(texts, pairs, similarity, n))
+    return checkpoint(texts.select(key, "cid")), checkpoint(verified_pairs(texts, pairs, similarity, n))
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame, key: str, expand: int = EXPAND) -> DataFrame:
