@@ -12,6 +12,7 @@ from .lookalikes import consistent_columns, disguised
 from .near_copies import expand_pairs, groups, near_copies
 from .neighbours import similar_vectors
 from .packing import fill_report, pack_documents
+from .spam import line_shares, spam_pages
 from .survivors import build_survivors, judge_values, pick_fields
 from .tokens import count_column, decode_corpus, encode_corpus
 
@@ -98,8 +99,18 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(_packed(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id) of keyword, link and tag pages."""
+    return spam_pages(table(spark, d, "documents").select("doc_id", "text")).select("doc_id")
+
+
+def p9_line_shares(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, words, prose, links, tags, menu): the words of each document by the state of their line."""
+    return line_shares(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p4_found, p4_groups, p5_found, p5_neighbours, p7_ids, p7_round_trip, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p4_found, p4_groups, p5_found, p5_neighbours, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_line_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
