@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .lookalikes import consistent_columns, disguised
+from .name_links import link_names
 from .near_copies import expand_pairs, groups, near_copies
 from .neighbours import similar_vectors
 from .packing import fill_report, pack_documents
@@ -44,6 +45,13 @@ def p2_consistent(spark: SparkSession, d: str) -> DataFrame:
     return consistent_columns(table(spark, d, "mentions").select("mention_id", "text", "normalized_text"), ["text", "normalized_text"])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """(mention_id, id): the entity that each mention not yet resolved names."""
+    open_ = table(spark, d, "mentions").where("resolved_entity_id IS NULL").select("mention_id", "text")
+    entities = table(spark, d, "entities").select("id", "entity_type", "name", "aliases")
+    return link_names(open_, entities, table(spark, d, "short_names"))
+
+
 def _articles(spark: SparkSession, d: str):
     rows = table(spark, d, "search_results").select("result_id", "title", "content")
     return near_copies(rows, "result_id", ["title", "content"], similarity=0.5, n=3, least=20, counted="content")
@@ -110,7 +118,7 @@ def p9_line_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p4_found, p4_groups, p5_found, p5_neighbours, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_line_shares)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_line_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
