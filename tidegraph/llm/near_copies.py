@@ -18,7 +18,7 @@ from ..functions.let import let
 from ..operators.components import connected_components
 from ..session import checkpoint
 
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 32, 3
 SLOTS, BITS = 32, 4  # the sketch: values of a few bits, compared in steps of STEP
 STEP = 8
 TOLERANCE = 0.001
