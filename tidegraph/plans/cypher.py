@@ -373,7 +373,10 @@ class Compiler:
         if n.labels:
             v = v.where(F.lower("entity_type").isin(*[x.lower() for x in n.labels]))
         for k, e in n.props.items():
-            v = v.where(F.col(k) == self.expr(e)) if k in self.fields else v.where("false")
+            if k not in self.fields:
+                v = v.where("false")
+            elif e[0] in ("param", "value"):
+                v = v.where(F.col(k) == self.expr(e))
         self.kinds[n.var] = "node"
         return v.select(F.col("id").alias(f"{n.var}__id"), *[F.col(c).alias(f"{n.var}__{c}") for c in self.fields if c != "id"])
 
@@ -385,7 +388,10 @@ class Compiler:
         bound = df is not None and f"{first.var}__id" in df.columns
         cur = df if bound else self.vertex(first)
         if df is not None and not bound:
-            cur = df.crossJoin(cur) if not self._key(df, cur) else df.join(cur, self._key(df, cur))
+            on = self._bound(first)
+            if on is None:
+                raise Rejected("a pattern must share a variable with what comes before it")
+            cur = df.join(cur, on)
         mark = f"{p.var or '_p'}"
         cur = cur.withColumn(f"{mark}__nodes", F.array(self.ref(f"{first.var}__id"))).withColumn(f"{mark}__rels", F.array().cast("array<string>"))
         at = first
@@ -402,13 +408,21 @@ class Compiler:
             return cur.withColumn(f"{p.var}__length", F.size(self.ref(f"{mark}__nodes")) - 1)
         return cur.drop(f"{mark}__nodes", f"{mark}__rels")
 
-    def _key(self, a: DataFrame, b: DataFrame):
-        return None
+    def _bound(self, n: Node) -> Column | None:
+        """The properties of n that equal earlier variables."""
+        on = None
+        for k, e in n.props.items():
+            if k in self.fields and e[0] not in ("param", "value"):
+                c = self.ref(f"{n.var}__{k}") == self.expr(e)
+                on = c if on is None else on & c
+        return on
 
     def _end(self, cur: DataFrame, n: Node, ends: DataFrame | None) -> DataFrame:
         if ends is None:
             return cur.where(self.ref("__d") == self.ref(f"{n.var}__id")).drop("__d")
-        return cur.join(ends, self.ref("__d") == self.ref(f"{n.var}__id")).drop("__d")
+        cur = cur.join(ends, self.ref("__d") == self.ref(f"{n.var}__id")).drop("__d")
+        on = self._bound(n)
+        return cur if on is None else cur.where(on)
 
     def _hops(self, cur, adj, at, n, r: Rel, mark, ends) -> DataFrame:
         walk = cur.withColumn("__d", self.ref(f"{at.var}__id")).withColumn("__k", F.lit(0))
@@ -511,12 +525,15 @@ class Compiler:
             elif part[0] == "where":
                 df = df.where(self.expr(part[1]))
             else:
+                if part[2] and df is not None:
+                    # rows are numbered, so that those without a match come back as they were
+                    df = checkpoint(df.withColumn("__opt", F.monotonically_increasing_id()))
                 new = df
                 for p in part[1]:
                     new = self.match(new, p)
                 if part[2] and df is not None:
-                    keys = df.columns
-                    new = df.join(new, keys, "left") if keys else new
+                    more = [c for c in new.columns if c not in df.columns]
+                    new = df.join(new.select("__opt", *more), "__opt", "left").drop("__opt")
                 df = new
         agg = lambda e: isinstance(e, tuple) and (e[0] == "call" and e[1] in AGGREGATES or any(agg(x) for x in e[1:] if isinstance(x, tuple)) or any(agg(y) for x in e[1:] if isinstance(x, list) for y in x))
         keys = [(e, a) for e, a in q.returns if not agg(e)]
