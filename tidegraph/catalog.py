@@ -422,13 +422,13 @@ def cosine_topk(spark, d):
 
 
 @query(
-    f"""WITH {ENT}, a AS (SELECT id AS entity_id, al AS alias, confidence, source FROM (SELECT id, unnest(aliases) AS al, confidence, source FROM entities WHERE id IS NOT NULL AND NOT isnan(confidence)) WHERE regexp_full_match(al, '[\\x00-\\x7f]*')),
+    f"""WITH {ENT}, a AS (SELECT id AS entity_id, al AS alias, confidence, source FROM (SELECT id, unnest(aliases) AS al, confidence, source FROM entities WHERE id IS NOT NULL AND (confidence IS NULL OR NOT isnan(confidence))) WHERE regexp_full_match(al, '[\\x00-\\x7f]*')),
 n AS (SELECT entity_id, trim(regexp_replace(lower(alias), '[^a-z0-9_]+', ' ', 'g')) AS normalized_alias, alias, confidence, source FROM a)
-SELECT entity_id, normalized_alias, min(alias) AS alias, max(confidence) AS confidence, bool_or(source = 'manual') AS verified FROM n WHERE normalized_alias <> '' GROUP BY 1, 2"""
+SELECT entity_id, normalized_alias, min(alias) AS alias, max(confidence) AS confidence, coalesce(bool_or(source = 'manual'), false) AS verified FROM n WHERE normalized_alias <> '' GROUP BY 1, 2"""
 )
 def alias_upsert_merge(spark, d):
-    e = table(spark, d, "entities").where("id IS NOT NULL AND NOT isnan(confidence)")
-    new = e.select(F.col("id").alias("entity_id"), F.explode("aliases").alias("alias"), "confidence", (F.col("source") == "manual").alias("verified"), F.lit(1).alias("seq")).where(F.col("alias").rlike(r"^[\x00-\x7f]*$"))
+    e = table(spark, d, "entities").where("id IS NOT NULL AND (confidence IS NULL OR NOT isnan(confidence))")
+    new = e.select(F.col("id").alias("entity_id"), F.explode("aliases").alias("alias"), "confidence", F.coalesce(F.col("source") == "manual", F.lit(False)).alias("verified"), F.lit(1).alias("seq")).where(F.col("alias").rlike(r"^[\x00-\x7f]*$"))
     old = spark.createDataFrame([], "entity_id string, normalized_alias string, alias string, confidence double, verified boolean, seq int")
     return S.upsert_aliases(old, new).drop("seq")
 
