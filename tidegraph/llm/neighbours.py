@@ -165,9 +165,16 @@ def similar_vectors(rows: DataFrame, key: str, vector: str, k: int = 10, least:
             found = [(rows_few, cols_few)]
             many = np.flatnonzero(for_many)
             if len(many):
-                # stable: of equal cosines the smaller key comes first
-                best = np.argsort(-s[many], axis=1, kind="stable")[:, :k]
-                found.append((np.repeat(many, best.shape[1]), best.ravel()))
+                # all that reach the k-th best cosine, ties included; where ties abound, those of smaller key
+                t = s[many]
+                kth = np.partition(t, t.shape[1] - k, axis=1)[:, t.shape[1] - k]
+                top = t >= kth[:, None]
+                full = top.sum(1) > 2 * k
+                for row in np.flatnonzero(full):
+                    top[row] = False
+                    top[row, np.argsort(-t[row], kind="stable")[:k]] = True
+                r, c = np.nonzero(top)
+                found.append((many[r], c))
             for r, c in found:
                 good = s[r, c] > -2
                 r, c = r[good], c[good]
