@@ -282,7 +282,7 @@ def gazetteer_patterns(spark, d):
 
 @query(None)
 def gazetteer_doc_hits(spark, d):
-    pat = U.gazetteer(latest_entities(spark, d).where("entity_type = 'threat'").select("id", "name", "canonical_name", "aliases", "entity_type"))
+    pat = U.gazetteer(latest_entities(spark, d).select("id", "name", "canonical_name", "aliases", "entity_type"))
     return U.mentions_in(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", pat)
 
 
