@@ -121,5 +121,14 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_survivors, p1_source_quality, p2_found, p2_consistent, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_line_shares)}
 
 
+#: All pairs by brute force; only for small tables.
+_SIMILAR = """WITH v AS (SELECT record_no AS k, embedding::DOUBLE[] AS e FROM entities WHERE record_no IS NOT NULL AND len(embedding) = 64
+ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT k, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+s AS (SELECT a.k AS a, b.k AS b, list_dot_product(a.e, b.e) / (a.n * b.n) AS c FROM u a, u b WHERE a.k <> b.k),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM s)
+SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM r WHERE n <= 10 AND c >= 0.9"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": _SIMILAR}
