@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine, fuse, normalize_surface, trigram_similarity, trigrams
-from ..session import checkpoint
+from ..session import BROADCAST_LIMIT, checkpoint, estimated_bytes, spread
 from .graph import Graph, bfs
 
 SIGNALS = ("exact", "fulltext", "vector", "fuzzy", "type", "coherence")
 LEAST_FUZZY = 0.15
+BLOCKS = 256  # of the entities, where a query set is too large to broadcast
 
 
 def dedupe_mentions(mentions: DataFrame) -> DataFrame:
@@ -61,8 +62,16 @@ def fuzzy_candidates(mentions: DataFrame, forms: DataFrame, least: float = LEAST
 
 
 def vector_candidates(queries: DataFrame, embeddings: DataFrame, top: int = 20) -> DataFrame:
-    """(mention_id, id, vector): entities of positive cosine with each query vector; queries (mention_id, v) are a stated set."""
-    j = queries.join(embeddings.select("id", F.col("v").alias("e")), F.size("v") == F.size("e"))
+    """(mention_id, id, vector): entities of positive cosine with each query vector; queries (mention_id, v) are a stated set.
+
+    A small query set is broadcast; a larger one meets the entities block by block, each block a task of its own."""
+    e = embeddings.select("id", F.col("v").alias("e"))
+    if estimated_bytes(queries) < BROADCAST_LIMIT:
+        j = e.repartition(spread(queries.sparkSession, 0, 1)).join(F.broadcast(queries), F.size("v") == F.size("e"))
+    else:
+        q = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+        e = e.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"))
+        j = q.join(e, (q["b"] == e["b"]) & (F.size("v") == F.size("e")))
     s = j.select("mention_id", "id", cosine(F.col("v"), F.col("e")).alias("vector")).where("vector > 0")
     w = Window.partitionBy("mention_id").orderBy(F.desc("vector"), "id")
     return s.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).drop("__n")
