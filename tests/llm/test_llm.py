@@ -293,6 +293,29 @@ def test_spam(spark):
     assert spam.spam_pages(df.where("false")).count() == 0
 
 
+FOREIGN_SPAM = [
+    "билеты на паром купить якорь купить якорь дешевый фрахт аренда контейнера дешевый фрахт билеты на паром аренда контейнера купить якорь дешевый фрахт",
+    "купить якорь | аренда контейнера | страхование груза | билеты на паром | дешевый фрахт", "\n".join(["купить якорь", "дешевый фрахт", "аренда контейнера"] * 4),
+    "锚链批发 | 集装箱租赁 | 锚链批发 | 货运保险报价 | 集装箱租赁 | 锚链批发 | 货运保险报价 | 集装箱租赁", "集装箱租赁锚链批发集装箱租赁货运保险报价锚链批发集装箱租赁货运保险报价锚链批发",
+    "錨チェーン販売、中古コンテナ、フェリー予約、錨チェーン販売、中古コンテナ、フェリー予約、錨チェーン販売", "\n".join(["中古コンテナ", "フェリー予約", "錨チェーン販売"] * 4),
+    "컨테이너 임대, 앵커 구매, 여객선 예약, 컨테이너 임대, 앵커 구매, 화물 보험, 컨테이너 임대, 앵커 구매", "앵커 구매 앵커 구매 화물 보험 컨테이너 임대 화물 보험 앵커 구매 컨테이너 임대 화물 보험",
+    "Консорциум отверг ремонт кранов.\n" + "\n".join(["аренда контейнера", "кран б/у"] * 10),
+]
+FOREIGN_FINE = [
+    "Консорциум отверг ремонт кранов из-за тумана. Консорциум отверг учения у залива. Экипаж отверг ремонт кранов после встречи.", "港务局推迟了洁净室停工，直至另行通知。港务局推迟了起重机检修，直至另行通知。船东推迟了起重机检修。",
+    "港湾局は予告なしにクレーンの点検を延期した。港湾局は予告なしに航路の閉鎖を延期した。", "선주는 안개 때문에 항로 폐쇄를 연기했다. 항만 당국은 안개 때문에 크레인 점검을 연기했다.", "Повестка дня",
+    "1. Порт Одесса, действует, с 2010\n2. Порт Мурманск, действует, с 2008\n3. Порт Владивосток, закрыт, с 2011\n4. Порт Выборг, действует, с 2012",
+    "港务局推迟了洁净室停工，直至另行通知。船东拒绝与海事公司的合同，会议在港口举行。海岸警卫队确认起重机检修，原因是大雾。\n港口, 起重机, 合同, 大雾",
+]
+
+
+def test_spam_of_scripts_without_function_words(spark):
+    df = spark.createDataFrame(list(enumerate(FOREIGN_SPAM + FOREIGN_FINE)), "doc_id int, text string")
+    model = (np.log(spam.START), np.log(spam.TRANSITION).tolist(), np.log(spam.EMISSION).T.tolist())
+    flagged = {r.doc_id for r in spam.line_shares(df, model=model).where("words - prose > words / 2").collect()}
+    assert flagged == set(range(len(FOREIGN_SPAM)))
+
+
 def test_fit_keeps_the_states_apart():
     seqs = [[9] * 12, [0] * 9, [9, 0, 0, 0, 0], [1], [2] * 8, [9, 9, 7, 7, 7]] * 20
     start, trans, emit = spam.baum_welch(seqs)

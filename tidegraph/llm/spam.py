@@ -52,18 +52,41 @@ _PIECE = re.compile(r"[,|;•·\n/»]+")
 _NAV = re.compile(r"^(?:home|about|login|contact|menu|sitemap|terms|privacy|click here|read more|share|subscribe|©|copyright|all rights reserved|next|previous|back)\b", re.I)
 _ROW = re.compile(r"^\s*(?:\(?\d{1,3}[.)]|[*•-])\s+\S|\t")
 _NONLATIN = re.compile(r"[Ѐ-ӿ぀-ヿ㐀-鿿가-힣؀-ۿ]")
+_UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]+")  # written without blanks
+_GRAM = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W_぀-ヿ㐀-鿿]+")
+_END = re.compile(r"[。！？؟]|[.!?…]+(?=[\s<\"'»”’)\]』」&]|$)")
+_FOREIGN_PIECE = re.compile(r"[,|;•·\n»、，；،｜؛]+|\s/\s")
+
+
+def _count(s: str) -> int:
+    """Words; two characters of a script without blanks count as one."""
+    n = len(_WORD.findall(s))
+    if not s.isascii():
+        n += sum((len(x) - 1) // 2 for x in _UNSPACED.findall(s))
+    return n
+
+
+def _grams(s: str) -> list[str]:
+    """The words of s, and the pairs of neighbouring characters where a script has no blanks."""
+    out = []
+    for x in _GRAM.findall(s):
+        if len(x) > 2 and _UNSPACED.match(x):
+            out += [x[i : i + 2] for i in range(len(x) - 1)]
+        else:
+            out.append(x)
+    return out
 
 
 def units(text: str) -> list[tuple[str, int]]:
     """(unit, words) of each line, a long line in stretches; blank lines make none."""
     out = []
     for line in text.split("\n"):
-        n = len(_WORD.findall(line))
+        n = _count(line)
         if n > STRETCH * 2:
             parts = line.split()
             for i in range(0, len(parts), STRETCH):
                 piece = " ".join(parts[i : i + STRETCH])
-                if m := len(_WORD.findall(piece)):
+                if m := _count(piece):
                     out.append((piece, m))
         elif n:
             out.append((line, n))
@@ -84,7 +107,8 @@ def symbols(text: str) -> tuple[list[int], list[int]]:
             h = ws[0] + " " + ws[1]
             heads[h] = heads.get(h, 0) + 1
     listed = sum(heads.values())
-    return [_symbol(u, n, ws, share, linked, heads, listed) for (u, n), (ws, share) in zip(got, plain)], [n for _, n in got]
+    page = _Foreign(got)
+    return [_symbol(u, n, ws, share, linked, heads, listed, page) for (u, n), (ws, share) in zip(got, plain)], [n for _, n in got]
 
 
 def _harps(u: str) -> bool:
@@ -106,7 +130,73 @@ def _harps(u: str) -> bool:
     return hits >= 0.3 * said and hits > 0
 
 
-def _symbol(u, n, ws, share, linked, heads, listed) -> int:
+def _foreign(s: str) -> bool:
+    return not s.isascii() and len(_NONLATIN.findall(s)) > 0.15 * len(s)
+
+
+class _Foreign:
+    """Signs of repetition and listing that need no knowledge of the script, over the units of a page."""
+
+    def __init__(self, got: list[tuple[str, int]]):
+        self.lines: dict[str, int] = {}
+        self.pairs: dict[tuple[str, ...], int] = {}
+        self.open = 0  # units in which no sentence ends
+        for u, _ in got:
+            if _foreign(u) and not _END.search(u):
+                self.open += 1
+                line = self._line(u)
+                self.lines[line] = self.lines.get(line, 0) + 1
+                for x in self._pairs(_grams(line)):
+                    self.pairs[x] = self.pairs.get(x, 0) + 1
+
+    @staticmethod
+    def _line(u: str) -> str:
+        return re.sub(r"^\s*(?:\(?\d{1,3}[.)]|[*•-])\s+", "", u.lower()).strip()
+
+    @staticmethod
+    def _pairs(grams: list[str]) -> list[tuple[str, ...]]:
+        return list(zip(grams, grams[1:])) or [tuple(grams)]
+
+    @staticmethod
+    def _harps(s: str) -> bool:
+        """Sentences in which the same two words, or four characters, come again."""
+        hits = said = 0
+        for x in _END.split(s):
+            grams = _grams(x)
+            if len(grams) < 4:
+                continue
+            said += 1
+            seen: dict[tuple[str, ...], int] = {}
+            for i, pair in enumerate(zip(grams, grams[1:], grams[2:]) if _UNSPACED.search(x) else zip(grams, grams[1:])):
+                if FUNCTION.isdisjoint(pair) and _NONLATIN.search(pair[0]) and i - seen.setdefault(pair, i) > 1:
+                    hits += 1
+                    break
+        return hits >= 0.3 * said and hits > 0
+
+    def symbol(self, u: str, n: int, ws: list[str], share: float) -> int:
+        s, line = u.strip(), self._line(u)
+        grams = _grams(line)
+        if n >= 10 and len(set(grams)) < 0.7 * len(grams) and self._harps(line):
+            return 4
+        if _END.search(s):
+            return 9
+        if self.lines[line] >= 3 and self.lines[line] >= 0.05 * self.open:
+            return 4
+        digits = sum(any(c.isdigit() for c in w) for w in ws)
+        if _ROW.search(u) or digits >= 0.2 * len(ws):
+            return 7
+        pairs = self._pairs(grams)
+        if self.open >= 4 and sum(self.pairs[x] >= 3 for x in pairs) >= 0.6 * len(pairs):
+            return 4
+        if len(OFFER.findall(s)) >= 2:
+            return 2
+        pieces = [p for p in _FOREIGN_PIECE.split(s) if p.strip()]
+        if share < 0.08 and len(pieces) >= 4 and n / len(pieces) <= 5:
+            return 3
+        return 9
+
+
+def _symbol(u, n, ws, share, linked, heads, listed, page) -> int:
     s = u.strip()
     if linked:
         inside = sum(len(x) for x in _LINK.findall(s))
@@ -114,8 +204,8 @@ def _symbol(u, n, ws, share, linked, heads, listed) -> int:
             return 0
     if "#" in s and s.count("#") >= 2 and sum(w[0] == "#" for w in ws) >= 0.5 * len(ws):
         return 1
-    if not s.isascii() and len(_NONLATIN.findall(s)) > 0.15 * len(s):
-        return 9
+    if _foreign(s):
+        return page.symbol(u, n, ws, share)
     if not OFFER_WORDS.isdisjoint(ws):
         offers = len(OFFER.findall(s))
         if offers and (offers * 8 >= len(ws) and share < 0.15 or offers >= 3 and offers * 6 >= len(ws)):
