@@ -355,6 +355,12 @@ def exact_candidates(spark, d):
     return L.exact_candidates(m, forms).select("mention_id", "id").distinct()
 
 
+@query(None)
+def exact_candidates_all(spark, d):
+    """exact_candidates is its part that DuckDB normalises alike."""
+    return L.exact_candidates(table(spark, d, "mentions"), L.name_forms(latest_entities(spark, d))).select("mention_id", "id").distinct()
+
+
 def _tri(c: str) -> str:
     pad = f"list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: '  ' || w || ' ')"
     return f"list_distinct(flatten(list_transform({pad}, lambda w: list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)))))"
@@ -371,9 +377,15 @@ def trigram_similarity(spark, d):
     return got.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(None)
+def trigram_similarity_all(spark, d):
+    """trigram_similarity is its part that DuckDB splits alike."""
+    return L.similarity_of_names(table(spark, d, "mentions"), latest_entities(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
 def _query_texts(spark, d):
-    """A stated query set: mentions whose id is divisible by 20 with a text of ASCII."""
-    return table(spark, d, "mentions").where("mention_id % 20 = 0").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    """A stated query set: mentions whose id is divisible by 20."""
+    return table(spark, d, "mentions").where("mention_id % 20 = 0")
 
 
 @query(None)
@@ -433,6 +445,15 @@ def alias_upsert_merge(spark, d):
     return S.upsert_aliases(old, new).drop("seq")
 
 
+@query(None)
+def alias_upsert_merge_all(spark, d):
+    """alias_upsert_merge is its part that DuckDB normalises alike; a confidence of NaN says nothing."""
+    e = table(spark, d, "entities").where("id IS NOT NULL")
+    new = e.select(F.col("id").alias("entity_id"), F.explode("aliases").alias("alias"), "confidence", F.coalesce(F.col("source") == "manual", F.lit(False)).alias("verified"), F.lit(1).alias("seq"))
+    old = spark.createDataFrame([], "entity_id string, normalized_alias string, alias string, confidence double, verified boolean, seq int")
+    return S.upsert_aliases(old, new).drop("seq")
+
+
 # -- risk -------------------------------------------------------------------------
 _SEV = "CASE lower(severity) WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0.5 END"
 _UNIT = "greatest(0, least(1, CASE WHEN {0} IS NULL OR isnan({0}) THEN 0 ELSE {0} END))"

@@ -124,7 +124,7 @@ def upsert_aliases(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.unionByName(new.withColumn("normalized_alias", normalize_surface(F.col("alias"))), allowMissingColumns=True)
     both = both.where("normalized_alias != '' AND entity_id IS NOT NULL")
     return both.groupBy("entity_id", "normalized_alias").agg(
-        F.min_by("alias", F.struct(F.coalesce("seq", F.lit(-1)), "alias")).alias("alias"), F.max("confidence").alias("confidence"), F.bool_or("verified").alias("verified"), F.min("seq").alias("seq")
+        F.min_by("alias", F.struct(F.coalesce("seq", F.lit(-1)), "alias")).alias("alias"), F.max(F.when(~F.isnan("confidence"), F.col("confidence"))).alias("confidence"), F.bool_or("verified").alias("verified"), F.min("seq").alias("seq")
     )
 
 
