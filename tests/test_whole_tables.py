@@ -1,5 +1,6 @@
 """Queries over whole tables against evaluations in plain Python, and that no script or NaN is left out."""
 
+import hashlib
 import math
 import unicodedata
 from collections import defaultdict
@@ -92,3 +93,33 @@ def test_alias_upsert_merge_all(spark, data, rows):
             want[e["id"], surface(a)] = (min(alias, a), new if c is None else c if new is None else max(c, new), v or e["source"] == "manual")
     got = {(r.entity_id, r.normalized_alias): (r.alias, r.confidence, r.verified) for r in catalog.queries()["alias_upsert_merge_all"](spark, data).collect()}
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def near(data, rows):
+    out = defaultdict(set)
+    for r in pq.read_table(f"{data}/relationships.parquet").to_pylist():
+        if r["id"] is not None and r["source_id"] in rows["entities"] and r["target_id"] in rows["entities"]:
+            out[r["source_id"]].add(r["target_id"])
+            out[r["target_id"]].add(r["source_id"])
+    return out
+
+
+def test_neighbors_of_all_vertices(spark, data, near):
+    got = {(r.root, r.id) for r in catalog.queries()["neighbors_both_all"](spark, data).select("root", "id").collect()}
+    assert got == {(a, b) for a, bs in near.items() for b in bs}
+
+
+def test_shortest_path_trees_of_the_query_set(spark, data, rows, near):
+    want = {}
+    for root in rows["entities"]:
+        if hashlib.md5(root.encode()).hexdigest()[:4] < "0ccd":
+            hops, front = {root: 0}, [root]
+            for k in range(1, 6):
+                front = sorted({b for a in front for b in near[a]} - set(hops))
+                hops |= dict.fromkeys(front, k)
+            want |= {(root, n): k for n, k in hops.items()}
+    got = catalog.queries()["shortest_path_trees"](spark, data).collect()
+    assert {(r.root, r.node): r.hops for r in got} == want and len(got) == len(want)
+    assert all(len(r.path) == r.hops + 1 == len(r.named) and all(b in near[a] for a, b in zip(r.path, r.path[1:])) for r in got)
+    assert max(want.values()) > 3

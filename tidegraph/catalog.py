@@ -37,6 +37,8 @@ ADJ = f"""{EDG}, adj AS (SELECT id AS rel_id, rel_type, source_id AS src, target
 OUT = f"""{EDG}, adj AS (SELECT id AS rel_id, rel_type, source_id AS src, target_id AS dst FROM edg UNION SELECT id, rel_type, target_id, source_id FROM edg WHERE bidirectional)"""
 ROOTS = "roots AS (SELECT min(id) AS id FROM ent GROUP BY entity_type)"
 
+TWENTIETH = "roots AS (SELECT id FROM ent WHERE substr(md5(id), 1, 4) < '0ccd')"
+
 
 def levels(n: int, start: str, key: str = "") -> str:
     """Common table expressions l0..ln of a search, each level without what came before, and reach(key, node, hops)."""
@@ -70,6 +72,11 @@ def roots(g: G.Graph) -> DataFrame:
     return g.vertices.groupBy("entity_type").agg(F.min("id").alias("id")).select("id")
 
 
+def twentieth(g: G.Graph) -> DataFrame:
+    """A stated query set: a twentieth of all ids, by their hash."""
+    return g.vertices.where(F.substring(F.md5("id"), 1, 4) < "0ccd").select("id")
+
+
 # -- graph ------------------------------------------------------------------
 _NEAR = levels(5, "SELECT DISTINCT id AS node FROM ent WHERE entity_type = 'threat'")
 
@@ -108,7 +115,12 @@ def _neighbours(sql_adj: str, direction: str):
         g = graph_of(spark, d)
         return G.neighbours(g, roots(g), direction)
 
-    run.__name__ = name
+    def run_all(spark, d):
+        g = graph_of(spark, d)
+        return G.neighbours(g, g.vertices.select("id"), direction)
+
+    run.__name__, run_all.__name__ = name, f"{name}_all"
+    query(f"WITH {sql_adj} SELECT a.src AS root, a.rel_id, a.rel_type, e.id, e.name, e.entity_type FROM adj a JOIN ent e ON e.id = a.dst")(run_all)
     return query(f"WITH {sql_adj}, {ROOTS} SELECT a.src AS root, a.rel_id, a.rel_type, e.id, e.name, e.entity_type FROM roots JOIN adj a ON a.src = roots.id JOIN ent e ON e.id = a.dst")(run)
 
 
@@ -162,7 +174,7 @@ def shortest_path_lengths(spark, d):
 @query(None)
 def shortest_path_trees(spark, d):
     g = graph_of(spark, d)
-    return G.with_names(G.shortest_paths(g, roots(g), 3), g.vertices)
+    return G.with_names(G.shortest_paths(g, twentieth(g)), g.vertices)
 
 
 @query(f"WITH {ADJ}, {ROOTS}, {levels(3, 'SELECT id AS root, id AS node FROM roots', 'root')}, e AS (SELECT root, count(*) AS entities FROM reach GROUP BY root), r AS (SELECT root, count(*) AS relationships FROM (SELECT DISTINCT r.root, a.rel_id FROM reach r JOIN adj a ON a.src = r.node WHERE r.hops < 3) GROUP BY root) SELECT e.root, entities, coalesce(relationships, 0) AS relationships FROM e LEFT JOIN r ON r.root = e.root")
@@ -197,6 +209,45 @@ def critical_path_pairs(spark, d):
     return G.critical_paths(g, roots(g), max_hops=2)
 
 
+@query(f"WITH {ADJ}, {TWENTIETH}, {_BALL} SELECT root, node, hops FROM reach")
+def traverse_2hop_entities_of_twentieth(spark, d):
+    g = graph_of(spark, d)
+    return G.traverse(g, twentieth(g), 2)[0]
+
+
+@query(f"WITH {ADJ}, {TWENTIETH}, {_BALL} SELECT DISTINCT r.root, a.rel_id FROM reach r JOIN adj a ON a.src = r.node WHERE r.hops < 2")
+def traverse_2hop_relationships_of_twentieth(spark, d):
+    g = graph_of(spark, d)
+    return G.traverse(g, twentieth(g), 2)[1]
+
+
+@query(_SQL["shortest_path_lengths"].replace(ROOTS, TWENTIETH))
+def shortest_path_lengths_of_twentieth(spark, d):
+    g = graph_of(spark, d)
+    return G.bfs(g.adjacency("both"), twentieth(g), 5).groupBy("root", "hops").agg(F.count("*").alias("n"))
+
+
+@query(_SQL["traversal_stats_3hop"].replace(ROOTS, TWENTIETH))
+def traversal_stats_3hop_of_twentieth(spark, d):
+    g = graph_of(spark, d)
+    return G.traversal_stats(g, twentieth(g), 3)
+
+
+@query(f"WITH {OUT}, {TWENTIETH}, dep AS (SELECT DISTINCT src, dst, rel_id FROM adj WHERE rel_type IN ('DEPENDS_ON', 'SUPPLIES', 'SUPPLIES_TO')), {_chains_sql(5)}")
+def dependency_chains_of_twentieth(spark, d):
+    g = graph_of(spark, d)
+    return G.dependency_chains(g, twentieth(g)).select("root", F.array_join("path", ">").alias("path"), "hops")
+
+
+@query(
+    f"""WITH {ADJ}, {TWENTIETH}, ends AS (SELECT id FROM roots UNION SELECT id FROM ent WHERE entity_type = 'threat'), {levels(5, 'SELECT id AS root, id AS node FROM ends', 'root')}
+SELECT root AS source, node AS target, hops FROM reach WHERE node IN (SELECT id FROM ends) AND root < node ORDER BY hops, source, target LIMIT 20"""
+)
+def critical_path_pairs_of_twentieth(spark, d):
+    g = graph_of(spark, d)
+    return G.critical_paths(g, twentieth(g))
+
+
 @query(f"WITH {REL} SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, rel_type, min(id) AS id FROM rel WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1, 2, 3")
 def edge_undirected_dedupe(spark, d):
     return G.undirected_once(distinct_relationships(spark, d).where("source_id IS NOT NULL AND target_id IS NOT NULL"))

@@ -182,11 +182,16 @@ def hubs(g: Graph, top: int = 10) -> DataFrame:
 
 
 def critical_paths(g: Graph, focus: DataFrame, top: int = 20, max_hops: int = 5) -> DataFrame:
-    """(source, target, hops): the shortest distances between the focus vertices and the threats, source < target."""
+    """(source, target, hops): the shortest distances between the focus vertices and the threats, source < target.
+
+    The search ends at the first distance within which there are `top` pairs, as all others are farther."""
     ends = focus.select("id").unionByName(g.vertices.where("entity_type = 'threat'").select("id")).distinct()
-    reach = bfs(g.adjacency("both"), ends, max_hops)
-    pairs = reach.join(ends.withColumnRenamed("id", "node"), "node", "left_semi").where("root < node")
-    return pairs.select(F.col("root").alias("source"), F.col("node").alias("target"), "hops").orderBy("hops", "source", "target").limit(top)
+    ends, adj = checkpoint(ends), checkpoint(g.adjacency("both"))
+    for h in range(min(1, max_hops), max_hops + 1):
+        pairs = bfs(adj, ends, h).join(ends.withColumnRenamed("id", "node"), "node", "left_semi").where("root < node")
+        pairs = pairs.select(F.col("root").alias("source"), F.col("node").alias("target"), "hops")
+        if h == max_hops or pairs.limit(top).count() == top:
+            return pairs.orderBy("hops", "source", "target").limit(top)
 
 
 def traversal_stats(g: Graph, roots: DataFrame, hops: int = 3) -> DataFrame:
