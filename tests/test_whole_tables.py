@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidegraph import catalog
+from tidegraph.operators import linking
 
 
 def words(x, kept):
@@ -123,3 +124,24 @@ def test_shortest_path_trees_of_the_query_set(spark, data, rows, near):
     assert {(r.root, r.node): r.hops for r in got} == want and len(got) == len(want)
     assert all(len(r.path) == r.hops + 1 == len(r.named) and all(b in near[a] for a, b in zip(r.path, r.path[1:])) for r in got)
     assert max(want.values()) > 3
+
+
+def test_fulltext_candidates(spark):
+    m = spark.createDataFrame([(1, "Port of Oslo"), (2, "порт Одесса"), (3, "none")], "mention_id int, text string")
+    f = spark.createDataFrame([("a", "port of bergen"), ("b", "oslo"), ("c", "порт выборг")], "id string, form string")
+    got = {(r.mention_id, r.id): r.fulltext for r in linking.fulltext_candidates(m, f).collect()}
+    assert got == pytest.approx({(1, "a"): 0.5, (1, "b"): 1 / 3, (2, "c"): 1 / 3})
+
+
+def test_link_decision_has_candidates_beyond_exact_forms(spark, data, rows, forms):
+    got = {r.mention_id: r for r in catalog.queries()["link_decision"](spark, data).collect()}
+    assert len(got) == len(rows["mentions"])
+    typos = 0
+    for m in rows["mentions"]:
+        if m["text"] is None or surface(m["text"]) in forms or m["text"] in rows["entities"]:
+            continue
+        best = max((similarity(surface(m["text"]), f) for f in forms), default=0)
+        if best >= 0.15:
+            typos += 1
+            assert got[m["mention_id"]].status != "NIL"
+    assert typos

@@ -446,9 +446,14 @@ def trigram_candidates(spark, d):
 
 @query(None)
 def link_decision(spark, d):
-    m, v = table(spark, d, "mentions"), checkpoint(latest_entities(spark, d).select("id", "name", "canonical_name", "aliases", "entity_type"))
-    got = L.merge_routes(L.exact_candidates(m, L.name_forms(v)), L.direct_candidates(m, v))
-    return L.decide(L.rerank(got, m, v), m)
+    """All routes but that of vectors, as the tables hold none of mentions; coherence by document."""
+    m, g = table(spark, d, "mentions"), graph_of(spark, d)
+    v = checkpoint(g.vertices.select("id", "name", "canonical_name", "aliases", "entity_type"))
+    forms = checkpoint(L.name_forms(v))
+    got = L.merge_routes(L.exact_candidates(m, forms), L.direct_candidates(m, v), L.fuzzy_candidates(m, forms), L.fulltext_candidates(m, forms))
+    ranked = checkpoint(L.rerank(got, m, v))
+    group = m.where("document_id != ''").select("mention_id", F.col("document_id").alias("group_id"))
+    return L.decide(L.rerank(L.coherence(ranked, g, group), m, v), m)
 
 
 @query(

@@ -61,6 +61,20 @@ def fuzzy_candidates(mentions: DataFrame, forms: DataFrame, least: float = LEAST
     return m.join(best, "t").select("mention_id", "id", F.when(F.col("fuzzy") == 1, 1.0).otherwise(0.0).alias("exact"), "fuzzy")
 
 
+def fulltext_candidates(mentions: DataFrame, forms: DataFrame, top: int = 20) -> DataFrame:
+    """(mention_id, id, fulltext): the `top` entities of most overlap with each distinct text, shared over all distinct words."""
+    m = mentions.select("mention_id", normalize_surface(F.col("text")).alias("t")).where("t != ''")
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    left = m.select("t").distinct().select("t", F.size(words("t")).alias("n"), F.explode(words("t")).alias("w"))
+    right = forms.select("form").distinct().select("form", F.size(words("form")).alias("k"), F.explode(words("form")).alias("w"))
+    shared = left.join(right, "w").groupBy("t", "form", "n", "k").agg(F.count("*").alias("c"))
+    sims = shared.select("t", "form", (F.col("c") / (F.col("n") + F.col("k") - F.col("c"))).alias("fulltext"))
+    best = sims.join(forms, "form").groupBy("t", "id").agg(F.max("fulltext").alias("fulltext"))
+    w = Window.partitionBy("t").orderBy(F.desc("fulltext"), "id")
+    best = best.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).drop("__n")
+    return m.join(best, "t").select("mention_id", "id", "fulltext")
+
+
 def vector_candidates(queries: DataFrame, embeddings: DataFrame, top: int = 20) -> DataFrame:
     """(mention_id, id, vector): entities of positive cosine with each query vector; queries (mention_id, v) are a stated set.
 
