@@ -1,6 +1,7 @@
 """Corpus operators: against brute force, exact round trips and the library on small inputs with nulls, ties and repeats."""
 
 import itertools
+import os
 import random
 import re
 import unicodedata
@@ -282,17 +283,40 @@ FINE = [
 ]
 
 
-def test_spam(spark):
+@pytest.fixture(scope="module")
+def line_model():
+    """Fitted on the larger test documents, without Spark."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    codes, _ = spam.observe(pq.read_table(path, columns=["text"])["text"].to_pylist())
+    model = spam.starting_values()
+    for _ in range(spam.ROUNDS):
+        model = spam.maximise(spam.expected_counts(codes, model))
+    return model
+
+
+def test_spam(spark, line_model):
     texts = [*SPAM, *FINE, None, "", " \n ", "word " * 30_000]
     df = spark.createDataFrame([(i, t, "w") for i, t in enumerate(texts)], "doc_id int, text string, words string")
-    model = (np.log(spam.START), np.log(spam.TRANSITION).tolist(), np.log(spam.EMISSION).T.tolist())
-    shares = {r.doc_id: r for r in spam.line_shares(df, model=model).collect()}
+    shares = {r.doc_id: r for r in spam.line_shares(df, model=line_model).collect()}
     flagged = {i for i, r in shares.items() if r.words and r.words - r.prose > r.words / 2}
-    assert {i for i in flagged if i < len(SPAM) + len(FINE)} == set(range(len(SPAM)))
-    assert shares[len(SPAM) + len(FINE)].words == 0
+    assert flagged == {*range(len(SPAM)), len(texts) - 1}
+    assert shares[len(texts) - 1].words == 30_000
+    assert all(shares[i].words == 0 for i in range(len(SPAM) + len(FINE), len(texts) - 1))
     assert spam.spam_pages(df.where("false")).count() == 0
 
 
+def test_spam_tail_of_a_long_text(spark, line_model):
+    prose = "Traffic through the channel fell to 37 calls a day, and no injuries were reported at the gulf.\n"
+    tail = "buy hull paint | dry pump sale | buy hull paint | crew visa deals | dry pump sale\n"
+    df = spark.createDataFrame([(0, prose * 200 + tail * 900), (1, prose * 900 + tail * 20)], "doc_id int, text string")
+    got = {r.doc_id: r for r in spam.line_shares(df, model=line_model).collect()}
+    assert got[0].tags == 900 * 15 and got[0].prose == 200 * 18
+    assert got[1].tags == 20 * 15 and got[1].prose == 900 * 18
+
+
 FOREIGN_SPAM = [
     "билеты на паром купить якорь купить якорь дешевый фрахт аренда контейнера дешевый фрахт билеты на паром аренда контейнера купить якорь дешевый фрахт",
     "купить якорь | аренда контейнера | страхование груза | билеты на паром | дешевый фрахт", "\n".join(["купить якорь", "дешевый фрахт", "аренда контейнера"] * 4),
@@ -309,15 +333,29 @@ FOREIGN_FINE = [
 ]
 
 
-def test_spam_of_scripts_without_function_words(spark):
+def test_spam_of_scripts_without_function_words(spark, line_model):
     df = spark.createDataFrame(list(enumerate(FOREIGN_SPAM + FOREIGN_FINE)), "doc_id int, text string")
-    model = (np.log(spam.START), np.log(spam.TRANSITION).tolist(), np.log(spam.EMISSION).T.tolist())
-    flagged = {r.doc_id for r in spam.line_shares(df, model=model).where("words - prose > words / 2").collect()}
+    flagged = {r.doc_id for r in spam.line_shares(df, model=line_model).where("words - prose > words / 2").collect()}
     assert flagged == set(range(len(FOREIGN_SPAM)))
 
 
-def test_fit_keeps_the_states_apart():
-    seqs = [[9] * 12, [0] * 9, [9, 0, 0, 0, 0], [1], [2] * 8, [9, 9, 7, 7, 7]] * 20
-    start, trans, emit = spam.baum_welch(seqs)
-    assert emit[0, 9] > 0.5 and emit[1, 0] > 0.7 and emit[2, 1] > emit[0, 1]
-    assert np.allclose(emit.sum(1), 1) and np.allclose(trans.sum(1), 1) and np.isclose(start.sum(), 1)
+def test_fit_sums_over_all_documents(spark, line_model):
+    """The distributed E-step gives the model of the plain one; states keep their meaning, and the order of lines counts."""
+    texts = [*SPAM, *FINE, *FOREIGN_SPAM, *FOREIGN_FINE, None, ""] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    got = spam.fit_lines(spam.observed(df))
+    codes, _ = spam.observe(texts)
+    want = spam.starting_values()
+    for _ in range(spam.ROUNDS):
+        want = spam.maximise(spam.expected_counts(codes, want))
+    for a, b in zip(got, want):
+        assert np.allclose(a, b, atol=1e-9)
+    start, trans, emit = line_model
+    assert np.allclose([emit[a : a + n].sum(0) for a, n in zip(spam.AT, spam.SIZES)], 1) and np.allclose(trans.sum(1), 1) and np.isclose(start.sum(), 1)
+    assert emit[spam.AT[0] + 3, spam.STATES.index("links")] > 0.5 and emit[spam.AT[1] + 2, spam.STATES.index("hashtags")] > 0.5
+    # a line alone in its likeliest state isn't always what the model says of it among others
+    lone = [np.log(emit)[spam._bins(c)].sum(1).argmax(1) for c in codes if len(c)]
+    path = [p for p in spam.viterbi(codes, line_model) if len(p)]
+    assert any((a != b).any() for a, b in zip(lone, path))
+
+

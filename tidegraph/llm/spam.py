@@ -1,9 +1,11 @@
 """Keyword, link and tag pages by a hidden Markov model over lines.
 
-Each line (a long one in stretches) becomes one of a few symbols; a model with the states prose,
-link list, tag list and menu explains the sequence. Its parameters start from the values below
-and are re-estimated by Baum-Welch on a bounded sample; then every text is decoded whole, and a
-page is flagged by the share of its words that lie in lines which are not prose.
+Each line (a long one in stretches) is measured in the same way in every script: how much of it is
+links, hashtags, function words, figures, capitals, how long its pieces are, whether sentences end in
+it, and how much of it is said again close by. No measure is a verdict: each is cut into bins, and a
+model with the states below gives every bin a probability. The model starts from the values below
+and is re-estimated by Baum-Welch, its expected counts summed over all documents each round; then
+every text is decoded whole, and a page is flagged by the share of its words that are not prose.
 """
 
 from __future__ import annotations
@@ -15,12 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES = ("prose", "links", "tags", "menu")
-SYMBOLS = ("link", "hashtag", "offer", "enumeration", "repeat", "navigation", "salad", "row", "heading", "sentence", "other")
-SAMPLE = 2_000  # documents that the model is fitted on
-ROUNDS = 8
+from ..session import checkpoint
+
+#: Hidden states. Sentences, notices (sentences with hardly a function word), records (registers, schedules) and headings are prose; tags are hashtags, search words one after
+#: another, offers, and pitches built round a search word.
+STATES = ("sentence", "notice", "record", "heading", "links", "hashtags", "list", "offers", "pitch", "menu")
+LABELS = ("prose", "links", "tags", "menu")
+LABEL_OF = np.array([0, 0, 0, 0, 1, 2, 2, 2, 2, 3])
+ROUNDS = 4
 SHARE = 0.5
 STRETCH = 30  # words of a long line that make one unit
+NEAR = 2  # units before and after in which words are looked for again
+CELLS = 400_000  # units that one step of the recursions holds at most
 
 # Frequent function words of English, German, French, Spanish, Portuguese, Italian and Russian.
 FUNCTION = frozenset(
@@ -33,329 +41,391 @@ FUNCTION = frozenset(
     " os uma da do das dos e em no na nos nas por com sem que não foi il lo gli di da in con su per non che è"
     " и в на с по от за из у о к не что как для это был была были после до без под над при через из-за несмотря".split()
 )
-# Words of offers and search phrases.
-OFFER = re.compile(
-    r"\b(?:buy|cheap(?:est)?|best|price[sd]?|deals?|discount(?:ed)?|sale|for sale|online|wholesale|suppliers?|free quote|near me|top \d+|reviews?"
-    r"|official|order now|in stock|best price|24/7|free shipping|coupons?|promo|bargain|lowest|guaranteed|click here|hot|pcs|2026|shop|offer)\b",
-    re.I,
-)
-#: One word of every offer, by which most texts are passed over.
-OFFER_WORDS = frozenset(
-    "buy cheap cheapest best price prices priced deal deals discount discounted sale online wholesale supplier suppliers quote me top review reviews"
-    " official now stock 24/7 shipping coupon coupons promo bargain lowest guaranteed click hot pcs 2026 shop offer sale, best, online. price. deals."
-    " reviews, reviews. deals, sale. now. me. me, 24/7, stock. stock, price, online, quote, discount, cheap, wholesale, buy, official, supplier,".split()
-)
-_SENTENCE = re.compile(r"[.!?]+\s*")
-_LINK = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)", re.I)
-_WORD = re.compile(r"[^\W_]+")
-_PIECE = re.compile(r"[,|;•·\n/»]+")
-_NAV = re.compile(r"^(?:home|about|login|contact|menu|sitemap|terms|privacy|click here|read more|share|subscribe|©|copyright|all rights reserved|next|previous|back)\b", re.I)
-_ROW = re.compile(r"^\s*(?:\(?\d{1,3}[.)]|[*•-])\s+\S|\t")
-_NONLATIN = re.compile(r"[Ѐ-ӿ぀-ヿ㐀-鿿가-힣؀-ۿ]")
-_UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]+")  # written without blanks
-_GRAM = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W_぀-ヿ㐀-鿿]+")
-_END = re.compile(r"[。！？؟]|[.!?…]+(?=[\s<\"'»”’)\]』」&]|$)")
-_FOREIGN_PIECE = re.compile(r"[,|;•·\n»、，；،｜؛]+|\s/\s")
-
-
-def _count(s: str) -> int:
-    """Words; two characters of a script without blanks count as one."""
-    n = len(_WORD.findall(s))
-    if not s.isascii():
-        n += sum((len(x) - 1) // 2 for x in _UNSPACED.findall(s))
-    return n
-
-
-def _grams(s: str) -> list[str]:
-    """The words of s, and the pairs of neighbouring characters where a script has no blanks."""
-    out = []
-    for x in _GRAM.findall(s):
-        if len(x) > 2 and _UNSPACED.match(x):
-            out += [x[i : i + 2] for i in range(len(x) - 1)]
-        else:
-            out.append(x)
-    return out
-
+# Chinese function characters, Japanese particles, endings of Korean words in a sentence.
+MARKS = frozenset("的了在是和与不为以及对于将被其已因至但而并由向从把也都就这那所之上中下后前のはをにがでともへ")
+ENDINGS = ("은", "는", "이", "가", "을", "를", "의", "에", "에서", "로", "와", "과", "다", "도")
 
-def units(text: str) -> list[tuple[str, int]]:
-    """(unit, words) of each line, a long line in stretches; blank lines make none."""
+_LINK = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)", re.I)
+_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")  # characters of scripts without blanks, words of all others
+_UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]")
+_END = re.compile(r"[。！？؟]|[.!?…](?=[\s<\"'»”’)\]』」&]|$)")
+_ITEM = re.compile(r"[ \t]*(?:\(?\d{1,3}[.)]|[*•-])[ \t]+")  # the number of a list's line
+_SEPARATOR = re.compile(r"[,|;•·»、，；،｜؛]")
+
+#: Measures of a unit and the upper ends of their bins but the last.
+BINS: dict[str, tuple[float, ...]] = {
+    "link": (0.0, 0.2, 0.5),
+    "hashtag": (0.0, 0.4),
+    "function": (0.0, 0.08, 0.15, 0.25),
+    "end": (0.0,),
+    "within": (0.0, 0.15, 0.35),
+    "near": (0.0, 0.15, 0.35, 0.65),
+    "dense": (0.0, 0.08, 0.15),
+    "piece": (3.0, 5.0, 8.0, 14.0),
+    "marks": (0.0, 0.1, 0.2),
+    "digit": (0.0, 0.1, 0.2),
+    "capital": (0.0, 0.3, 0.6),
+    "head": (0.1, 0.25, 0.5),
+    "words": (3.0, 8.0, 20.0),
+}
+SIZES = [len(b) + 1 for b in BINS.values()]
+AT = np.cumsum([0, *SIZES[:-1]])
+CODES = int(np.prod(SIZES))
+
+#: Starting values: of each measure's bins, in each state.
+_START = {
+    "link": ([97, 2, 0.5, 0.5], [97, 2, 0.5, 0.5], [97, 2, 0.5, 0.5], [97, 2, 0.5, 0.5], [2, 5, 23, 70], [95, 3, 1, 1], [95, 3, 1, 1], [97, 1, 1, 1], [95, 3, 1, 1], [90, 5, 3, 2]),
+    "hashtag": ([99, 0.8, 0.2], [99, 0.8, 0.2], [99, 0.8, 0.2], [99, 0.8, 0.2], [95, 4, 1], [1, 9, 90], [97, 2, 1], [98, 1, 1], [97, 2, 1], [98, 1, 1]),
+    "function": ([6, 6, 18, 35, 35], [35, 30, 20, 10, 5], [55, 20, 15, 6, 4], [55, 10, 10, 10, 15], [75, 15, 6, 3, 1], [92, 5, 1, 1, 1], [85, 11, 3, 0.7, 0.3], [90, 8, 1, 0.6, 0.4], [20, 20, 25, 20, 15], [80, 10, 5, 3, 2]),
+    "end": ([6, 94], [4, 96], [75, 25], [97, 3], [80, 20], [97, 3], [96, 4], [97, 3], [15, 85], [97, 3]),
+    "within": ([86, 10, 3, 1], [45, 30, 17, 8], [90, 7, 2, 1], [97, 1, 1, 1], [60, 25, 10, 5], [60, 25, 10, 5], [55, 15, 12, 18], [85, 10, 3, 2], [5, 15, 40, 40], [85, 10, 3, 2]),
+    "near": ([70, 17, 9, 3, 1], [30, 25, 20, 15, 10], [55, 20, 15, 8, 2], [88, 6, 2, 2, 2], [35, 15, 20, 15, 15], [55, 15, 15, 10, 5], [35, 13, 15, 15, 22], [15, 25, 25, 25, 10], [25, 20, 20, 20, 15], [50, 15, 15, 10, 10]),
+    "dense": ([90, 9, 0.8, 0.2], [35, 35, 23, 7], [88, 10, 1.5, 0.5], [97, 1, 1, 1], [60, 15, 15, 10], [60, 15, 15, 10], [55, 12, 17, 16], [85, 10, 4, 1], [5, 8, 17, 70], [85, 8, 4, 3]),
+    "piece": ([4, 9, 27, 35, 25], [4, 9, 27, 35, 25], [25, 25, 20, 20, 10], [78, 16, 4, 1, 1], [30, 20, 20, 15, 15], [25, 15, 20, 20, 20], [48, 20, 12, 8, 12], [75, 20, 3, 1, 1], [12, 18, 40, 20, 10], [70, 20, 6, 2, 2]),
+    "marks": ([45, 45, 8, 2], [45, 40, 12, 3], [30, 10, 25, 35], [93, 4, 2, 1], [40, 10, 20, 30], [75, 5, 10, 10], [35, 5, 15, 45], [2, 2, 16, 80], [50, 35, 12, 3], [70, 5, 10, 15]),
+    "digit": ([55, 30, 10, 5], [35, 30, 20, 15], [22, 13, 20, 45], [85, 5, 5, 5], [60, 20, 10, 10], [40, 20, 20, 20], [80, 10, 6, 4], [5, 10, 20, 65], [80, 12, 5, 3], [90, 5, 3, 2]),
+    "capital": ([12, 50, 28, 10], [25, 5, 10, 60], [3, 15, 40, 42], [10, 15, 30, 45], [50, 20, 15, 15], [25, 15, 15, 45], [62, 20, 9, 9], [60, 37, 2, 1], [25, 55, 10, 10], [20, 20, 20, 40]),
+    "head": ([85, 8, 4, 3], [85, 8, 4, 3], [70, 12, 10, 8], [97, 1, 1, 1], [50, 15, 15, 20], [85, 5, 5, 5], [62, 10, 13, 15], [85, 5, 5, 5], [45, 20, 20, 15], [80, 10, 5, 5]),
+    "words": ([4, 10, 40, 46], [4, 15, 45, 36], [15, 30, 42, 13], [75, 22, 2, 1], [25, 40, 20, 15], [15, 25, 30, 30], [25, 25, 20, 30], [5, 30, 45, 20], [10, 30, 40, 20], [60, 30, 7, 3]),
+}
+START = np.array([0.58, 0.05, 0.12, 0.10, 0.05, 0.01, 0.05, 0.02, 0.017, 0.003])
+#: A state stays with this probability, else goes to any other alike.
+STAY = np.array([0.95, 0.93, 0.93, 0.10, 0.92, 0.90, 0.92, 0.92, 0.92, 0.80])
+
+
+def starting_values() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, transition, emission): emission has a row a bin of any measure and a column a state."""
+    e = np.concatenate([np.array(_START[f], dtype=float).T for f in BINS])
+    for a, n in zip(AT, SIZES):
+        e[a : a + n] /= e[a : a + n].sum(0)
+    k = len(STATES)
+    trans = np.repeat((1 - STAY)[:, None] / (k - 1), k, axis=1)
+    np.fill_diagonal(trans, STAY)
+    return START / START.sum(), trans, e
+
+
+class _Vocabulary(dict):
+    """Number of a token, with its properties in lists by number; emptied when full."""
+
+    MOST = 500_000
+
+    def __init__(self):
+        self.flags: list[tuple[bool, bool, bool, bool]] = []
+        self.lower: list[int] = []  # number of the token in lower case
+
+    def __missing__(self, w: str) -> int:
+        self[w] = n = len(self.flags)
+        low = w.lower()
+        self.lower.append(n)
+        wide = bool(_UNSPACED.match(w))
+        f = w in MARKS if wide else low in FUNCTION or "가" <= w[0] <= "힣" and len(w) > 1 and w.endswith(ENDINGS)
+        self.flags.append((wide, f, any(map(str.isdigit, w)), w[0].isupper()))
+        if low != w:
+            self.lower[n] = self[low]
+        return n
+
+    def trim(self) -> None:
+        if len(self.flags) > self.MOST:
+            self.clear()
+            self.flags.clear()
+            self.lower.clear()
+
+
+_vocabulary = _Vocabulary()
+
+
+def units(text: str) -> list[tuple[str, list[str]]]:
+    """(unit, tokens) of each line, a long line in stretches; lines without tokens make none."""
     out = []
     for line in text.split("\n"):
-        n = _count(line)
-        if n > STRETCH * 2:
-            parts = line.split()
-            for i in range(0, len(parts), STRETCH):
-                piece = " ".join(parts[i : i + STRETCH])
-                if m := _count(piece):
-                    out.append((piece, m))
-        elif n:
-            out.append((line, n))
+        ts = _TOKEN.findall(line)
+        if len(ts) <= STRETCH * 2:
+            if ts:
+                out.append((line, ts))
+            continue
+        begins = [m.start() for m in _TOKEN.finditer(line)]
+        if _UNSPACED.search(line):
+            total = np.cumsum([0.5 if _UNSPACED.match(w) else 1 for w in ts])
+            cuts = np.searchsorted(total, np.arange(STRETCH, total[-1], STRETCH)) + 1
+        else:
+            cuts = range(STRETCH, len(ts), STRETCH)
+        at = begin = 0
+        for cut in (*cuts, len(ts)):
+            end = begins[cut] if cut < len(ts) else len(line)
+            if cut > at:
+                out.append((line[begin:end], ts[at:cut]))
+            at, begin = cut, end
     return out
 
 
-def symbols(text: str) -> tuple[list[int], list[int]]:
-    """The symbol and the number of words of each unit."""
-    got = units(text)
-    low = text.lower()
-    linked = "http" in low or "www." in low or "](" in low or "href" in low
-    plain, heads = [], {}
-    for u, _ in got:
-        ws = u.lower().split()
-        share = sum(map(FUNCTION.__contains__, ws)) / max(len(ws), 1)
-        plain.append((ws, share))
-        if share < 0.08 and len(ws) >= 2:
-            h = ws[0] + " " + ws[1]
-            heads[h] = heads.get(h, 0) + 1
-    listed = sum(heads.values())
-    page = _Foreign(got)
-    return [_symbol(u, n, ws, share, linked, heads, listed, page) for (u, n), (ws, share) in zip(got, plain)], [n for _, n in got]
-
-
-def _harps(u: str) -> bool:
-    """Sentences that say the same two words twice, again and again."""
-    hits = said = 0
-    for x in _SENTENCE.split(u.lower()):
-        ws = x.split()
-        if len(ws) < 4:
-            continue
-        said += 1
-        seen: set[tuple[str, str]] = set()
-        for pair in zip(ws, ws[1:]):
-            pair = (pair[0].strip(",;:"), pair[1].strip(",;:"))
-            if pair in seen:
-                hits += 1
-                break
-            if pair[0] not in FUNCTION and pair[1] not in FUNCTION:
-                seen.add(pair)
-    return hits >= 0.3 * said and hits > 0
-
-
-def _foreign(s: str) -> bool:
-    return not s.isascii() and len(_NONLATIN.findall(s)) > 0.15 * len(s)
-
-
-class _Foreign:
-    """Signs of repetition and listing that need no knowledge of the script, over the units of a page."""
-
-    def __init__(self, got: list[tuple[str, int]]):
-        self.lines: dict[str, int] = {}
-        self.pairs: dict[tuple[str, ...], int] = {}
-        self.open = 0  # units in which no sentence ends
-        for u, _ in got:
-            if _foreign(u) and not _END.search(u):
-                self.open += 1
-                line = self._line(u)
-                self.lines[line] = self.lines.get(line, 0) + 1
-                for x in self._pairs(_grams(line)):
-                    self.pairs[x] = self.pairs.get(x, 0) + 1
-
-    @staticmethod
-    def _line(u: str) -> str:
-        return re.sub(r"^\s*(?:\(?\d{1,3}[.)]|[*•-])\s+", "", u.lower()).strip()
-
-    @staticmethod
-    def _pairs(grams: list[str]) -> list[tuple[str, ...]]:
-        return list(zip(grams, grams[1:])) or [tuple(grams)]
-
-    @staticmethod
-    def _harps(s: str) -> bool:
-        """Sentences in which the same two words, or four characters, come again."""
-        hits = said = 0
-        for x in _END.split(s):
-            grams = _grams(x)
-            if len(grams) < 4:
-                continue
-            said += 1
-            seen: dict[tuple[str, ...], int] = {}
-            for i, pair in enumerate(zip(grams, grams[1:], grams[2:]) if _UNSPACED.search(x) else zip(grams, grams[1:])):
-                if FUNCTION.isdisjoint(pair) and _NONLATIN.search(pair[0]) and i - seen.setdefault(pair, i) > 1:
-                    hits += 1
-                    break
-        return hits >= 0.3 * said and hits > 0
-
-    def symbol(self, u: str, n: int, ws: list[str], share: float) -> int:
-        s, line = u.strip(), self._line(u)
-        grams = _grams(line)
-        if n >= 10 and len(set(grams)) < 0.7 * len(grams) and self._harps(line):
-            return 4
-        if _END.search(s):
-            return 9
-        if self.lines[line] >= 3 and self.lines[line] >= 0.05 * self.open:
-            return 4
-        digits = sum(any(c.isdigit() for c in w) for w in ws)
-        if _ROW.search(u) or digits >= 0.2 * len(ws):
-            return 7
-        pairs = self._pairs(grams)
-        if self.open >= 4 and sum(self.pairs[x] >= 3 for x in pairs) >= 0.6 * len(pairs):
-            return 4
-        if len(OFFER.findall(s)) >= 2:
-            return 2
-        pieces = [p for p in _FOREIGN_PIECE.split(s) if p.strip()]
-        if share < 0.08 and len(pieces) >= 4 and n / len(pieces) <= 5:
-            return 3
-        return 9
-
-
-def _symbol(u, n, ws, share, linked, heads, listed, page) -> int:
-    s = u.strip()
-    if linked:
-        inside = sum(len(x) for x in _LINK.findall(s))
-        if inside > 0.35 * len(s) or (inside and share < 0.08 and inside > 0.2 * len(s)):
-            return 0
-    if "#" in s and s.count("#") >= 2 and sum(w[0] == "#" for w in ws) >= 0.5 * len(ws):
-        return 1
-    if _foreign(s):
-        return page.symbol(u, n, ws, share)
-    if not OFFER_WORDS.isdisjoint(ws):
-        offers = len(OFFER.findall(s))
-        if offers and (offers * 8 >= len(ws) and share < 0.15 or offers >= 3 and offers * 6 >= len(ws)):
-            return 2
-    if n >= 10 and len(set(ws)) < 0.7 * len(ws) and _harps(s):
-        return 4
-    if share >= 0.15:
-        return 9
-    if _NAV.match(s) and n <= 12:
-        return 5
-    digits = sum(1 for w in ws if not w.isalpha() and any(c.isdigit() for c in w))
-    if _ROW.search(u) and share < 0.12:
-        return 7
-    if digits and n >= 4 and sum(map(str.isupper, s)) > 0.5 * sum(map(str.isalpha, s)):
-        return 7
-    if share < 0.08:
-        pieces = [p.strip().lower() for p in _PIECE.split(s) if p.strip()]
-        if len(pieces) >= 4 and n / len(pieces) <= 7 and digits <= 0.3 * len(ws):
-            return 3
-        small = sum(w.isalpha() or "-" in w for w in u.split() if w == w.lower())
-        if n >= 12 and len(pieces) <= 2 and s[-1] not in ".!?\"" and small >= 0.8 * len(ws):
-            return 6
-        if len(ws) >= 2 and listed >= 4:
-            h = heads.get(ws[0] + " " + ws[1], 0)
-            if h >= 3 and h >= 0.25 * listed and digits <= 0.3 * len(ws):
-                return 4
-        if n >= 12 and len(set(ws)) < 0.5 * len(ws) and digits <= 0.1 * len(ws):
-            return 4
-        if digits >= 0.2 * len(ws):
-            return 7
-    if s[-1] in ".!?\"”)" and (share >= 0.05 or n >= 4):
-        return 9
-    if share >= 0.1:
-        return 9
-    return 8 if n <= 9 else 10
-
-
-#: Starting values; rows are states, columns the symbols in their order.
-EMISSION = np.array(
-    [
-        [0.003, 0.00001, 0.001, 0.003, 0.002, 0.004, 0.001, 0.190, 0.150, 0.560, 0.086],
-        [0.860, 0.005, 0.030, 0.020, 0.010, 0.015, 0.005, 0.010, 0.030, 0.005, 0.010],
-        [0.010, 0.200, 0.280, 0.220, 0.140, 0.010, 0.090, 0.010, 0.020, 0.005, 0.015],
-        [0.030, 0.005, 0.020, 0.020, 0.010, 0.650, 0.005, 0.010, 0.200, 0.020, 0.030],
-    ]
-)
-TRANSITION = np.array([[0.93, 0.03, 0.03, 0.01], [0.05, 0.90, 0.02, 0.03], [0.05, 0.02, 0.90, 0.03], [0.15, 0.10, 0.10, 0.65]])
-START = np.array([0.75, 0.10, 0.12, 0.03])
-
-
-def baum_welch(sequences: list[list[int]], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, transition, emission) after some rounds, all sequences side by side.
-
-    The starting values weigh as much as the observations of an average state, so that a symbol
-    keeps to the states it was given."""
-    emit = EMISSION / EMISSION.sum(1, keepdims=True)
-    start, trans, e0 = START.copy(), TRANSITION.copy(), emit.copy()
-    if not sequences:
-        return start, trans, emit
-    n, size = len(sequences), max(map(len, sequences))
-    length = np.array([len(s) for s in sequences])
-    o = np.zeros((n, size), dtype=np.int64)
-    for i, s in enumerate(sequences):
-        o[i, : len(s)] = s
-    live = np.arange(size)[None, :] < length[:, None]
-    weight = max(50.0, live.sum() / 4)
-    for _ in range(rounds):
-        like = np.where(live[:, :, None], emit.T[o], 1.0)
-        a, scale = np.zeros((n, size, 4)), np.ones((n, size))
+def observe(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(codes, words) of each text: the binned measures of its units as one number each, and their words.
+
+    Two characters of a script without blanks count as a word. A null or wordless text has no unit."""
+    _vocabulary.trim()
+    per, flat, size, link, tags, ends, seps, items = [], [], [], [], [], [], [], []
+    for t in texts:
+        n = 0
+        if t:
+            low = t.lower()
+            linked = "http" in low or "www." in low or "](" in low or "href" in low
+            hashed, listed = "#" in t, _ITEM.search(t) is not None
+            for u, ts in units(t):
+                n += 1
+                flat += ts
+                size.append(len(ts))
+                link.append(sum(map(len, _LINK.findall(u))) / max(1, len(u.strip())) if linked else 0.0)
+                tags.append(sum(w[0] == "#" and w[1:2].isalnum() for w in u.split()) if hashed else 0)
+                ends.append(_END.search(u) is not None)
+                seps.append(len(_SEPARATOR.findall(u)))
+                m = _ITEM.match(u) if listed else None
+                items.append(1 if m and any(c.isdigit() for c in m[0]) else 0)
+        per.append(n)
+    count = len(size)
+    if not count:
+        return [np.zeros(0, np.int64) for _ in texts], [np.zeros(0) for _ in texts]
+    ids = np.fromiter(map(_vocabulary.__getitem__, flat), dtype=np.int64, count=len(flat))
+    lower = np.array(_vocabulary.lower, dtype=np.int64)[ids]
+    flags = np.array(_vocabulary.flags, dtype=bool)
+    wide, function, digit, capital = (flags[ids, k] for k in range(4))
+    size, items = np.array(size), np.array(items)
+    first = np.cumsum(size) - size
+    unit = np.repeat(np.arange(count), size)
+    weight = np.where(wide, 0.5, 1.0)
+    words = np.bincount(unit, weight, count)
+    page = np.repeat(np.arange(len(texts)), per)
+
+    # runs of two words, or of three characters, that come again within NEAR units; a list's number is none of its words
+    spoken = np.ones(len(ids), dtype=bool)
+    spoken[first[items == 1]] = False
+    n = len(ids)
+    nxt, two = np.minimum(np.arange(n) + 1, n - 1), np.minimum(np.arange(n) + 2, n - 1)
+    same, far = (unit[nxt] == unit) & (nxt > np.arange(n)), (unit[two] == unit) & (two > nxt)
+    three = wide & far & wide[nxt]
+    run = same & spoken & (three | ~(wide & wide[nxt]))
+    alone = spoken & (size[unit] - items[unit] == 1)  # a unit of one word is a run of its own
+    key = (lower * 0x9E3779B1 + np.where(alone, 1, lower[nxt] + 2)) * 0x85EBCA6B + np.where(three, lower[two] + 1, 0)
+    at = np.flatnonzero(run | alone)
+    order = at[np.lexsort((at, key[at], page[unit[at]]))]
+    a, b = order[:-1], order[1:]
+    again = (key[a] == key[b]) & (page[unit[a]] == page[unit[b]]) & (unit[b] - unit[a] <= NEAR)
+    own = unit[a] == unit[b]
+    runs = np.maximum(np.bincount(unit[at], minlength=count), 1)
+    said = []
+    for which in (again & own, again & ~own):
+        hit = np.zeros(n)
+        hit[a[which]] = 1
+        hit[b[which]] = 1
+        said.append(np.bincount(unit, hit, count) / runs)
+
+    # how often the run said most often is said in a unit, from three times on
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (key[a] != key[b]) | (unit[a] != unit[b])
+    group = np.cumsum(new) - 1
+    most = np.zeros(count)
+    np.maximum.at(most, unit[order], np.bincount(group)[group] if len(order) else 0)
+
+    # how many units of the page begin alike
+    begin = np.minimum(first + items, n - 1)
+    head = key[begin] * 4 + 1
+    pair = np.lexsort((head, page))
+    new = np.ones(count, dtype=bool)
+    new[1:] = (head[pair][1:] != head[pair][:-1]) | (page[pair][1:] != page[pair][:-1])
+    group = np.cumsum(new) - 1
+    alike = np.zeros(count)
+    alike[pair] = np.bincount(group)[group]
+    total = np.array(per)[page]
+    heads = np.where((alike >= 3) & (total >= 4), alike / total, 0.0)
+
+    letters = np.bincount(unit, (~wide & ~digit).astype(float), count)
+    values = {
+        "link": np.array(link),
+        "hashtag": np.array(tags) / words,
+        "function": np.bincount(unit, function.astype(float), count) / words,
+        "end": np.array(ends, dtype=float),
+        "within": said[0],
+        "near": said[1],
+        "dense": np.where(most > 2, most / words, 0.0),
+        "piece": words / (1 + np.array(seps)),
+        "marks": np.array(seps) / words,
+        "digit": np.bincount(unit, digit.astype(float), count) / words,
+        "capital": np.bincount(unit, (capital & ~wide).astype(float), count) / np.maximum(letters, 1),
+        "head": heads,
+        "words": words,
+    }
+    code = np.zeros(count, dtype=np.int64)
+    for f, bins in BINS.items():
+        code = code * (len(bins) + 1) + np.searchsorted(np.array(bins), values[f], side="left")
+    cut = np.cumsum(per)[:-1]
+    return np.split(code, cut), np.split(words, cut)
+
+
+def _bins(codes: np.ndarray) -> np.ndarray:
+    """Rows of the emission table of each code, one a measure."""
+    out = np.empty((len(codes), len(SIZES)), dtype=np.int64)
+    for k in range(len(SIZES) - 1, -1, -1):
+        codes, out[:, k] = np.divmod(codes, SIZES[k])
+    return out + AT
+
+
+def _likelihood(codes: np.ndarray, log_emit: np.ndarray) -> np.ndarray:
+    """Log probability of each unit in each state."""
+    return log_emit[_bins(codes)].sum(1)
+
+
+def _packs(sequences: list[np.ndarray]):
+    """Sequences of like length together, (their places, codes, true where there is a unit)."""
+    order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: len(sequences[i]))
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and len(sequences[order[j]]) * (j + 1 - i) <= CELLS:
+            j += 1
+        part = order[i:j]
+        live = np.arange(len(sequences[part[-1]]))[None, :] < np.array([len(sequences[k]) for k in part])[:, None]
+        codes = np.zeros(live.shape, dtype=np.int64)
+        codes[live] = np.concatenate([sequences[k] for k in part])
+        yield part, codes, live
+        i = j
+
+
+def expected_counts(sequences: list[np.ndarray], model) -> np.ndarray:
+    """Expected starts, moves and bins by state of all sequences (one E-step), in one vector."""
+    start, trans, emit = model
+    k = len(start)
+    starts, moves, seen, log_emit = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape), np.log(emit)
+    for _, codes, live in _packs(sequences):
+        n, size = codes.shape
+        flat = _likelihood(codes[live], log_emit)
+        like = np.ones((n, size, k))
+        like[live] = np.exp(flat - flat.max(1, keepdims=True))
+        a, scale = np.zeros((n, size, k)), np.ones((n, size))
         for t in range(size):
             x = (start if t == 0 else a[:, t - 1] @ trans) * like[:, t]
             scale[:, t] = np.where(live[:, t], x.sum(1), 1.0)
             a[:, t] = np.where(live[:, t, None], x / scale[:, t, None], a[:, t - 1] if t else x)
-        b = np.ones((n, 4))
-        g = np.zeros((n, size, 4))
-        moves = np.zeros((4, 4))
+        b, g = np.ones((n, k)), np.zeros((n, size, k))
         for t in range(size - 1, -1, -1):
             if t < size - 1:
                 w = like[:, t + 1] * b / scale[:, t + 1, None] * live[:, t + 1, None]
                 moves += trans * (a[:, t].T @ w)
                 b = np.where(live[:, t + 1, None], w @ trans.T, b)
             g[:, t] = a[:, t] * b * live[:, t, None]
-        e = e0 * weight
-        np.add.at(e.T, o[live], g[live])
-        s, m = START * min(weight, n) + g[:, 0].sum(0), TRANSITION * weight + moves
-        start, trans, emit = s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
-    return start, trans, emit
+        starts += g[:, 0].sum(0)
+        bins, held = _bins(codes[live]), g[live]
+        for f in range(bins.shape[1]):
+            for s in range(k):
+                seen[:, s] += np.bincount(bins[:, f], held[:, s], len(seen))
+    return np.concatenate([starts, moves.ravel(), seen.ravel()])
+
+
+def maximise(counts: np.ndarray):
+    """The model of the expected counts; the starting values weigh as much as an average state's units, so that a state keeps its meaning."""
+    start0, trans0, emit0 = starting_values()
+    k = len(start0)
+    starts, moves, seen = counts[:k], counts[k : k + k * k].reshape(k, k), counts[k + k * k :].reshape(emit0.shape)
+    weight = max(50.0, seen[: SIZES[0]].sum() / k)
+    start = starts + start0 * max(10.0, starts.sum() / k)
+    trans = moves + trans0 * weight
+    emit = seen + emit0 * weight
+    for a, n in zip(AT, SIZES):
+        emit[a : a + n] /= emit[a : a + n].sum(0)
+    return start / start.sum(), trans / trans.sum(1, keepdims=True), emit
+
+
+def viterbi(sequences: list[np.ndarray], model) -> list[np.ndarray]:
+    """The most probable states of each sequence."""
+    start, trans, emit = (np.log(x) for x in model)
+    out = [np.zeros(0, dtype=np.int64)] * len(sequences)
+    for part, codes, live in _packs(sequences):
+        n, size = codes.shape
+        like = np.zeros((n, size, len(start)))
+        like[live] = _likelihood(codes[live], emit)
+        best, back = start + like[:, 0], np.zeros((n, size, len(start)), dtype=np.int8)
+        for t in range(1, size):
+            ways = best[:, :, None] + trans
+            at = ways.argmax(1)
+            on = live[:, t, None]
+            back[:, t] = np.where(on, at, np.arange(len(start)))  # after the end nothing moves
+            best = np.where(on, np.take_along_axis(ways, at[:, None, :], 1)[:, 0] + like[:, t], best)
+        path = np.empty((n, size), dtype=np.int64)
+        path[:, -1] = best.argmax(1)
+        for t in range(size - 1, 0, -1):
+            path[:, t - 1] = back[np.arange(n), t, path[:, t]]
+        for i, p, on in zip(part, path, live):
+            out[i] = p[on]
+    return out
 
 
-def viterbi(o: list[int], model) -> list[int]:
-    start, trans, emit = model
-    best, back = start + emit[o[0]], []
-    for x in o[1:]:
-        ways = [[best[i] + trans[i][j] for i in range(4)] for j in range(4)]
-        at = [max(range(4), key=w.__getitem__) for w in ways]
-        best = [ways[j][at[j]] + emit[x][j] for j in range(4)]
-        back.append(at)
-    k = max(range(4), key=list(best).__getitem__)
-    path = [k]
-    for at in reversed(back):
-        k = at[k]
-        path.append(k)
-    return path[::-1]
-
-
-def fit_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE):
-    """Log parameters (start, transition, emission by symbol), fitted on about `sample` documents chosen by a hash of their key."""
-    total = docs.count()
-    some = docs.where(F.length(F.trim(text)) > 0)
-    if total > sample:
-        some = some.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(1_000_000)) < int(sample / total * 1_000_000))
-
-    @F.arrow_udf("array<int>")
-    def seq(texts: pa.Array) -> pa.Array:
-        return pa.array([symbols(x)[0][:150] for x in texts.to_pylist()], type=pa.list_(pa.int32()))
-
-    got = [r[0] for r in some.select(seq(text).alias("s")).limit(2 * sample).collect()]
-    start, trans, emit = baum_welch([s for s in got if s])
-    return np.log(start), np.log(trans).tolist(), np.log(emit).T.tolist()
+def label_words(codes: list[np.ndarray], words: list[np.ndarray], model) -> np.ndarray:
+    """Words of each text by label, a row a text."""
+    paths = viterbi(codes, model)
+    return np.array([np.bincount(LABEL_OF[p], w, len(LABELS)) for p, w in zip(paths, words)]).reshape(len(codes), len(LABELS))
+
+
+def observed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, o): the measured units of every text, two numbers a unit, written to the shared folder; texts are read once."""
+
+    @F.arrow_udf("struct<c:array<int>,w:array<float>>")
+    def measure(texts: pa.Array) -> pa.Array:
+        codes, words = [], []
+        rows = texts.to_pylist()
+        for i in range(0, len(rows), 1000):
+            c, w = observe(rows[i : i + 1000])
+            codes += c
+            words += w
+        at = pa.array(np.cumsum([0, *map(len, codes)]), type=pa.int32())
+        flat = lambda x, t: pa.ListArray.from_arrays(at, pa.array(np.concatenate(x) if x else np.zeros(0), type=t))
+        return pa.StructArray.from_arrays([flat([c.astype(np.int32) for c in codes], pa.int32()), flat([w.astype(np.float32) for w in words], pa.float32())], names=["c", "w"])
+
+    return checkpoint(docs.select(F.col(key), measure(text).alias("o")))
+
+
+def _sequences(batch) -> list[np.ndarray]:
+    return np.split(batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()[1:-1]) if len(batch) else []
+
+
+def fit_lines(seen: DataFrame, rounds: int = ROUNDS):
+    """(start, transition, emission) fitted on all units of `observed`; only sums of a fixed number of counts reach the driver."""
+    model = starting_values()
+
+    def step(batches):
+        total = None
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                got = expected_counts(_sequences(pa.concat_arrays([b.column(0).slice(i, 2000)])), model)
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
+
+    for _ in range(rounds):
+        rows = seen.select("o.c").mapInArrow(step, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        if not rows:
+            break
+        counts = np.zeros(len(rows))
+        for i, x in rows:
+            counts[i] = x
+        model = maximise(counts)
+    return model
 
 
 def line_shares(docs: DataFrame, text: str = "text", key: str = "doc_id", model=None) -> DataFrame:
-    """docs with words, prose, links, tags, menu: the words of the text and those in lines of each state.
+    """(key, words, prose, links, tags, menu): the words of each text and those in units of each label.
 
-    Null, empty and wordless texts have 0 of all. Columns of these names are replaced."""
-    start, trans, emit = model or fit_lines(docs, text, key)
-    params = (np.asarray(start), trans, emit)
+    Null, empty and wordless texts have 0 of all. Other columns are left out; repeated and null keys are rows of their own."""
+    seen = observed(docs, text, key)
+    model = model or fit_lines(seen)
 
     @F.arrow_udf("struct<words:int,prose:int,links:int,tags:int,menu:int>")
-    def shares(texts: pa.Array) -> pa.Array:
-        rows = []
-        for x in texts.to_pylist():
-            held = [0, 0, 0, 0]
-            if x:
-                o, n = symbols(x)
-                if o and min(o) == max(o) == 9:  # sentences only
-                    held[0] = sum(n)
-                elif o:
-                    for state, words in zip(viterbi(o, params), n):
-                        held[state] += words
-            rows.append((sum(held), *held))
-        cols = list(zip(*rows)) or [[]] * 5
-        return pa.StructArray.from_arrays([pa.array(c, type=pa.int32()) for c in cols], names=["words", *STATES])
-
-    names = ("words", *STATES)
-    keep = [c for c in docs.columns if c not in names]
-    return docs.withColumn("__s", shares(text)).select(*keep, *[F.col("__s")[n].alias(n) for n in names])
+    def shares(c: pa.Array, w: pa.Array) -> pa.Array:
+        held = np.ceil(label_words(_sequences(c), _sequences(w), model)).astype(np.int32) if len(c) else np.zeros((0, len(LABELS)), np.int32)
+        cols = [held.sum(1), *held.T]
+        return pa.StructArray.from_arrays([pa.array(x, type=pa.int32()) for x in cols], names=["words", *LABELS])
+
+    return seen.select(F.col(key), shares(F.col("o.c"), F.col("o.w")).alias("s")).select(key, "s.*")
 
 
 def spam_pages(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float = SHARE) -> DataFrame:
-    """(key, words, prose, links, tags, menu) of the pages whose words lie mostly in lines that are not prose."""
-    got = line_shares(docs.select(key, text), text, key).drop(text)
+    """(key, words, prose, links, tags, menu) of the pages whose words lie mostly in units that are not prose."""
+    got = line_shares(docs.select(key, text), text, key)
     return got.where((F.col("words") > 0) & (F.col("words") - F.col("prose") > F.col("words") * share))
