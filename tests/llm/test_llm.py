@@ -5,6 +5,7 @@ import os
 import random
 import re
 import unicodedata
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -253,7 +254,7 @@ def test_similar_vectors(spark):
     s = u @ u.T
     np.fill_diagonal(s, -2)
     best = {(i, int(j)) for i, r in enumerate(s) for j in np.argsort(-r, kind="stable")[:10]}
-    import unittest.mock as mock
+
 
     with mock.patch.object(neighbours, "PER_PART", 200):
         got = neighbours.similar_vectors(df, "k", "v", 10, size=16).collect()
@@ -271,6 +272,29 @@ def test_parts_are_balanced():
     assert n.max() - n.min() <= 2
 
 
+def test_leaves_are_split_and_measured(spark):
+    """A hot leaf in blocks and groups of queries finds the same; at many leaves the measured number of them reaches the recall."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 16)).repeat(60, 0) + 0.5 * rng.standard_normal((2400, 16))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "k long, v array<float>")
+    u = neighbours._unit(x.astype(np.float32))
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(u)) for j in np.argsort(-s[i], kind="stable")[:10]}
+    for change in ({"PER_PART": 40}, {"PER_PART": 40, "BLOCK": 15, "ASKED": 50}):
+        with mock.patch.multiple(neighbours, **change):
+            rows = neighbours.similar_vectors(df, "k", "v", 10, size=16, recall=0.95).collect()
+        got = {(r.k, r.neighbour) for r in rows}
+        assert len(rows) == len(got) and len(got & want) >= 0.92 * len(want)
+    own = neighbours.usable_vectors(df, "k", "v", 16)
+    with mock.patch.object(neighbours, "PER_PART", 40):
+        router = neighbours.fit_parts(own, len(x), 16)
+        take, held = neighbours.measured_leaves(own, len(x), router, 10, -1.0, 16, 0.95)
+    assert router.parts * router.second == 64 and 1 < take < 64 and held >= 0.95
+    order = router.leaves(u[:50], 64)
+    assert all(len(set(o[o >= 0])) == (o >= 0).sum() for o in order)
+
+
 # -- spam ------------------------------------------------------------------------------------------
 SPAM = [
     "[crew visa](https://a.example/p)\n* [hull paint](http://b.test/x)\n* [dry pump](www.c.test/y.html)", "#BuyHullPaint #CheapDryPump #SaleLifeRaft #DealsVpnRouter", "top 10 ship loan, ship loan reviews, buy ship loan, ship loan deals, top 10 ship loan, cheap ship loan",

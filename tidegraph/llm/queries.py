@@ -70,7 +70,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """(record_a, record_b) of cosine 0.90 at least, one among the ten most similar of the other."""
-    got = similar_vectors(table(spark, d, "entities").select("record_no", "embedding"), "record_no", "embedding", k=10, least=0.90)
+    got = similar_vectors(table(spark, d, "entities").select("record_no", "embedding"), "record_no", "embedding", k=10, least=0.90, recall=0.999)
     return got.select(F.least("record_no", "neighbour").alias("record_a"), F.greatest("record_no", "neighbour").alias("record_b")).distinct()
 
 
