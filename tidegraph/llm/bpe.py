@@ -5,7 +5,9 @@ concatenation.  So the encoding of a prefix is known by its last token alone, an
 "last token of the prefix that ends here" is filled left to right.  The encoding of any longer
 text passes one of the last L prefix ends (L: bytes of the longest token).  What all of these
 have in common on their way back is stable and is emitted; that bounds the lookahead by the
-vocabulary, not by the text.
+merge list, not by the text. L is computed from the merges: the longest token that is the encoding
+of its own bytes, as no other can occur. Texts are fed in pieces and cut into pre-tokens as they come;
+a pre-token of any length streams through the table, so memory does not grow with the text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ _FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 _FULL = regex.compile(PATTERN)
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python only
 
-SHORT = 48  # bytes; longer pre-tokens go through the streaming table
+PIECE = 8_192  # characters fed at a time
+HELD = 1_024  # characters of a pre-token that are held before it streams
 MEMO = 300_000  # entries of each memo; emptied when full, so memory stays constant
 KEEP = 64  # longest text that a memo keeps
 _TIGHT = re.compile(r"\s ")  # white space before a blank: runs of it reach over blanks
@@ -32,6 +35,8 @@ _COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 _re_l, _re_n, _re_s = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"\s")
 _fu_l, _fu_n, _fu_s = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s")
+#: The rest of a pre-token by its kind.
+_RUN = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": regex.compile(r"\s*"), "O": regex.compile(r"[^\s\p{L}\p{N}]*")}
 
 
 def _class(c: str, l, n, s) -> int:
@@ -76,7 +81,7 @@ class Bpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.tokens = {v: k for k, v in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        self.lookahead = self._lookahead()
         tails: dict[bytes, set[int]] = {}
         for t in self.ranks:
             tails.setdefault(t[-2:], set()).add(len(t))
@@ -91,6 +96,13 @@ class Bpe:
     def _chunk(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, split(" " + text)))
 
+    def _lookahead(self) -> int:
+        """Bytes of the longest token that the merges make of its own bytes; no later byte changes what lies farther back."""
+        for t in sorted(self.ranks, key=len, reverse=True):
+            if self.merge(t) == [t]:
+                return len(t)
+        return 1
+
     # -- one pre-token ------------------------------------------------------
     def merge(self, word: bytes) -> list[bytes]:
         """The definition: join the neighbours of lowest rank until none is left."""
@@ -119,8 +131,6 @@ class Bpe:
         return parts
 
     def word(self, word: bytes) -> list[int]:
-        if len(word) <= SHORT:
-            return [self.ranks[x] for x in self.merge(word)]
         s = Stream(self)
         return s.feed(word) + s.finish()
 
@@ -135,7 +145,14 @@ class Bpe:
 
     # -- whole texts --------------------------------------------------------
     def packed(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian 32-bit integers; none for an empty text and for null.
+        """Ids of a text as little-endian 32-bit integers; none for an empty text and for null."""
+        if not text:
+            return b""
+        t = Text(self)
+        return b"".join([t.feed(text[i : i + PIECE]) for i in range(0, len(text), PIECE)]) + t.finish()
+
+    def part(self, text: str) -> bytes:
+        """Ids of a text that ends where a pre-token ends.
 
         A pre-token starts at every blank that no white space precedes, so the parts between
         blanks are encoded apart, each by the memo if it was seen before."""
@@ -212,8 +229,8 @@ class Stream:
 
     def _emit(self) -> list[int]:
         end = len(self.data)
-        alive = set(range(max(1, end - self.bpe.longest + 1), end + 1))
-        if end < self.bpe.longest:
+        alive = set(range(max(1, end - self.bpe.lookahead + 1), end + 1))
+        if end < self.bpe.lookahead:
             return []
         # the deepest position that the ways back of all open ends share; the last token before it stays as context
         while len(alive) > 1:
@@ -246,6 +263,85 @@ class Stream:
         return ids
 
 
+class Text:
+    """Feeds a text in pieces of any size; gives packed ids as soon as they are certain.
+
+    Held back are the characters from the last blank that ends a word on, or the end of a long pre-token."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.rest = bpe, ""
+        self.open: Stream | None = None
+        self.kind, self.held = "", ""
+
+    def _send(self, text: str) -> bytes:
+        ids = self.open.feed(text.encode("utf-8", "replace"))
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _close(self) -> bytes:
+        ids = self.open.finish()
+        self.open = None
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _go_on(self, piece: str) -> tuple[bytes, str]:
+        """Ids of the rest of the open pre-token, and what of the piece comes after it."""
+        n = _RUN[self.kind].match(piece).end()
+        run, after = piece[:n], piece[n:]
+        if self.kind == "S" and n:  # the last white space may belong to the next pre-token
+            run, self.held = self.held + run[:-1], run[-1]
+        out = self._send(run)
+        if not after:
+            return out, ""
+        after, self.held = self.held + after, ""
+        return out + self._close(), after
+
+    def feed(self, piece: str) -> bytes:
+        out = b""
+        if self.open is not None:
+            out, piece = self._go_on(piece)
+            if self.open is not None:
+                return out
+        s = self.rest + piece
+        at = s.rfind(" ", 1)
+        while at > 0 and s[at - 1].isspace():
+            at = s.rfind(" ", 1, at)
+        if at > 0:
+            out += self.bpe.part(s[:at])
+            s = s[at:]
+        if len(s) > HELD:
+            more, s = self._begin(s)
+            out += more
+        self.rest = s
+        return out
+
+    def _begin(self, s: str) -> tuple[bytes, str]:
+        """Ids of the pre-tokens of s that no continuation changes, and the rest; a long last one is opened."""
+        found = _FULL.findall(s)
+        at, done = 0, 0
+        for x in found[:-1]:
+            if at + len(x) > len(s) - 3:  # 're and its like may be incomplete
+                break
+            at += len(x)
+            done += 1
+        out = b"".join(map(self.bpe.words.__getitem__, found[:done]))
+        s = s[at:]
+        if done < len(found) - 1 or len(s) <= HELD:
+            return out, s
+        c = s[1] if s[0] == " " else s[0]
+        self.kind = next((k for k, r in zip("LNS", (_fu_l, _fu_n, _fu_s)) if r.match(c)), "O")
+        self.open = Stream(self.bpe)
+        if self.kind == "S":
+            s, self.held = s[:-1], s[-1]
+        return out + self._send(s), ""
+
+    def finish(self) -> bytes:
+        if self.open is not None:
+            out = self._send(self.held) if self.held else b""
+            self.held = ""
+            return out + self._close()
+        s, self.rest = self.rest, ""
+        return self.bpe.part(s)
+
+
 class Decoder:
     """Ids to text in pieces: keeps at most the three bytes of an unfinished character."""
 

@@ -6,7 +6,8 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load
@@ -20,6 +21,15 @@ def rank_file(folder: str | None = None, name: str = VOCABULARY) -> str:
     return os.path.join(folder or TOKENIZERS, name)
 
 
+def ship(spark: SparkSession, path: str | None = None) -> None:
+    """Send the vocabulary file to the executors, for those that don't hold it at its path."""
+    spark.sparkContext.addFile(path or rank_file())
+
+
+def _encoder(path: str):
+    return load(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
 def ids_column(text: Column, path: str | None = None) -> Column:
     """array<int>: ids of the text without special tokens (their strings are ordinary text).
 
@@ -28,7 +38,7 @@ def ids_column(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        packed = load(path).packed
+        packed = _encoder(path).packed
         parts = [packed(x) for x in texts.to_pylist()]
         ends = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum([len(x) // 4 for x in parts], out=ends[1:])
@@ -46,7 +56,7 @@ def count_column(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("int")
     def count(texts: pa.Array) -> pa.Array:
-        n = load(path).count
+        n = _encoder(path).count
         return pa.array([n(x) for x in texts.to_pylist()], type=pa.int32())
 
     return count(text)
@@ -58,7 +68,7 @@ def text_column(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        d = load(path).decode
+        d = _encoder(path).decode
         return pa.array([d(x or []) for x in rows.to_pylist()], type=pa.string())
 
     return decode(ids)
@@ -66,8 +76,16 @@ def text_column(ids: Column, path: str | None = None) -> Column:
 
 def encode_corpus(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """docs with the column `out`; a column of that name is replaced. One pass, no shuffle."""
+    ship(docs.sparkSession, path)
     return docs.withColumn(out, ids_column(F.col(text), path))
 
 
 def decode_corpus(docs: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
+    ship(docs.sparkSession, path)
     return docs.withColumn(out, text_column(F.col(ids), path))
+
+
+def count_corpus(docs: DataFrame, text: str = "text", out: str = "n_tokens", path: str | None = None) -> DataFrame:
+    """docs with the number of tokens in place of the text."""
+    ship(docs.sparkSession, path)
+    return docs.withColumn(out, count_column(F.col(text), path)).drop(text)
