@@ -36,6 +36,25 @@ def test_encoder_equals_library(library):
     assert e.encode(None) == []
 
 
+def test_texts_in_pieces_of_any_size(library):
+    """Fed in pieces, a text gives the same ids, whatever runs of characters it holds, and little of it is held back."""
+    e = bpe.load(TOK)
+    assert 1 < e.lookahead <= max(map(len, e.ranks))
+    rnd = random.Random(5)
+    parts = ["a", "b", "é", "中", " ", "  ", "\n", "\t", "'re", "'r", "'", "'ll", "1", "!", "_", "\x1c", "word", "🙂"]
+    texts = ["".join(rnd.choices(parts if i % 3 else rnd.sample(parts, 2), k=rnd.choice([3, 40, 3000]))) for i in range(200)]
+    texts += ["a" * 20_000, " " * 9_000, "x" + " \n" * 5_000 + "y", "!" * 7_000 + "'re", "ab" * 9_000 + "'ll"]
+    for x in texts:
+        t, out, at, held = bpe.Text(e), b"", 0, 0
+        while at < len(x):
+            n = rnd.choice([1, 2, 50, 700])
+            out += t.feed(x[at : at + n])
+            at += n
+            held = max(held, len(t.rest) + (len(t.open.data) if t.open else 0))
+        assert list(memoryview(out + t.finish()).cast("i")) == library(x)
+        assert held < 2 * bpe.HELD + 700
+
+
 def test_stream_gives_the_same_whatever_the_pieces():
     e, rng = bpe.load(TOK), random.Random(2)
     for _ in range(20):
@@ -44,7 +63,7 @@ def test_stream_gives_the_same_whatever_the_pieces():
         while at < len(word):
             n = rng.randint(1, 90)
             out += s.feed(word[at : at + n])
-            assert len(s.data) <= 6 * e.longest  # constant memory
+            assert len(s.data) <= 6 * e.lookahead  # constant memory
             at += n
         assert [x for x in out + s.finish()] == [e.ranks[x] for x in e.merge(word)]
 
@@ -80,6 +99,22 @@ def test_packing(spark):
     assert packing.fill_report(packing.pack_documents(df.where("false"), "doc_id", "n")).head().containers == 0
 
 
+def test_packing_does_not_depend_on_splits(spark):
+    """Equal rows are spread, a long document counts by its pieces, and other splits of the rows change nothing."""
+    rows = [(1, 700)] * 3000 + [(i, 100 + i % 900) for i in range(1000)] + [(5000, 2048 * 900 + 3), (None, 10), (None, 10)]
+    df = spark.createDataFrame(rows, "k int, n int")
+    with mock.patch.object(packing, "RUN", 64):
+        a = packing.pack_documents(df, "k", "n", bucket=500).collect()
+        b = packing.pack_documents(df.repartition(7), "k", "n", bucket=500).collect()
+    order = lambda rows: sorted(map(str, rows))
+    assert order(a) == order(b) and len(a) == 3000 + 1000 + 901 + 2
+    used, pieces = {}, {}
+    for r in a:
+        used[r.container] = used.get(r.container, 0) + r.n_tokens
+        pieces[r.container >> 32] = pieces.get(r.container >> 32, 0) + 1
+    assert max(used.values()) <= 2048 and max(pieces.values()) < 2 * 500
+
+
 def test_classes_hold_their_number():
     box = packing.pack(np.array([500] * 9), 1024)
     assert max(np.bincount(box)) == 2 and len(set(box)) == 5

@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpoint, spread
 
 CLASSES = 16  # sizes above capacity/16 form classes of reciprocal capacity; smaller ones are filled in
 BUCKET = 40_000  # pieces that one worker packs by itself
+RUN = 1_000  # equal rows that are numbered together
 
 
 def pack(sizes: np.ndarray, capacity: int, classes: int = CLASSES) -> np.ndarray:
@@ -74,24 +75,29 @@ def pack(sizes: np.ndarray, capacity: int, classes: int = CLASSES) -> np.ndarray
     return where
 
 
-def pack_documents(
-    docs: DataFrame, key: str, tokens: str, capacity: int = 2048, classes: int = CLASSES, bucket: int = BUCKET, rows: int | None = None
-) -> DataFrame:
+def pack_documents(docs: DataFrame, key: str, tokens: str, capacity: int = 2048, classes: int = CLASSES, bucket: int = BUCKET) -> DataFrame:
     """(key, piece, first_token, n_tokens, container): every document, or every piece of one longer than a container.
 
-    Pieces are spread over workers by a salted hash, whatever the key, so copies of a key or a size
-    never meet in one task; each worker packs `bucket` pieces on average by itself. Null and
-    negative counts are 0; a document without tokens is one piece of 0 tokens in the first container
-    of its worker. Repeated and null keys are packed row by row. Other columns are left out."""
+    Pieces are spread over workers by a hash of key, size, piece and, among equal rows, their number, so copies of a key
+    or a size never meet in one task and the same table is packed alike however its files are split; each worker packs
+    `bucket` pieces on average by itself. Null and negative counts are 0; a document without tokens is one piece of 0
+    tokens in the first container of its worker. Repeated and null keys are packed row by row. Other columns are left out."""
     spark = docs.sparkSession
-    rows = docs.count() if rows is None else rows
-    many = max(1, -(-rows // bucket))
     size = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long")
+    sized = checkpoint(docs.select(F.col(key).alias("k"), size.alias("n")))
+    pieces = F.greatest(F.ceil(F.col("n") / capacity).cast("int"), F.lit(1))
+    rows = sized.agg(F.sum(pieces.cast("long"))).head()[0] or 0
+    many = max(1, -(-rows // bucket))
+    # equal rows are counted, not collected, and numbered in runs, which are spread before they are unfolded
+    runs = sized.groupBy("k", "n").agg(F.count("*").alias("c")).select(
+        "k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / RUN))).alias("q"), "c"
+    ).repartition(spread(spark, rows, bucket), "k", "n", "q")
+    equal = runs.select("k", "n", F.explode(F.sequence(F.col("q") * RUN, F.least(F.col("c"), (F.col("q") + 1) * RUN) - 1)).alias("no"))
     pieces = (
-        docs.select(F.col(key).alias("k"), size.alias("n"))
-        .select("k", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))).alias("piece"))
-        .select("k", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("long") * capacity).cast("int").alias("m"))
-        .withColumn("b", F.pmod(F.xxhash64("k", "piece", F.spark_partition_id()), F.lit(many)).cast("int"))
+        equal.select("k", "n", "no", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+        .select("k", "n", "no", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("long") * capacity).cast("int").alias("m"))
+        .withColumn("b", F.pmod(F.xxhash64("k", "n", "piece", "no"), F.lit(many)).cast("int"))
+        .select("k", "piece", "m", "b")
     )
     kind = docs.schema[key].dataType.simpleString()
 

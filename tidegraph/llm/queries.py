@@ -15,7 +15,7 @@ from .neighbours import similar_vectors
 from .packing import fill_report, pack_documents
 from .spam import line_shares, spam_pages
 from .survivors import build_survivors, judge_values, pick_fields
-from .tokens import count_column, decode_corpus, encode_corpus
+from .tokens import count_corpus, decode_corpus, encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,8 +93,7 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return pack_documents(docs.select("doc_id", count_column(F.col("text")).alias("n")), "doc_id", "n", rows=docs.count())
+    return pack_documents(count_corpus(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "n_tokens")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
