@@ -176,6 +176,28 @@ def test_survivors(spark):
     assert full["a"].aliases == ["Ac"] and "x" in full["a"].tags and full["b"].source is None and full["a"].confidence == 0.9
 
 
+def test_sources_that_agree_overrule_a_sign(spark):
+    """A text like a stock phrase that several sources back by words of the entity's own says something; alone it doesn't."""
+    rows, no = [], 0
+    for i in range(200):
+        for s in ("osint", "manual", "wire service", "registry")[: 3 + i % 2]:
+            no += 1
+            rows.append((f"e{i}", no, s, 0.5, None, f"the pump{i} plant near quay{i} of {s}", f"Name {i}", None, None, None))
+        no += 1
+        rows.append((f"e{i}", no, "forum", 0.5, None, "tbd", f"Name {i}", None, None, None))
+    odd = "Error in pump5 of the plant near quay5"  # begins like an error message, tells of the entity
+    rows.append(("e5", 9001, "forum", 0.5, None, odd, "Name 5", None, None, None))
+    rows.append(("z", 9002, "forum", 0.5, None, "Error in some part", "Name z", None, None, None))
+    rows.append(("z", 9003, "osint", 0.5, None, "Name z", "Name z", None, None, None))
+    trust = spark.createDataFrame([("manual", 9), ("wire service", 6), ("osint", 4), ("registry", 3), ("forum", 1)], "source string, trust int")
+    judged, rates = survivors.judge_descriptions(spark.createDataFrame(rows, REC), trust)
+    got = {r.record_no: r.usable for r in judged.collect()}
+    assert got[9001] and not got[9002] and not got[9003]
+    assert all(got[r[1]] == (r[5] != "tbd") for r in rows[:-3])
+    rate = {r.source: r for r in rates.collect()}
+    assert rate["manual"].sensitivity > 0.8 > rate["forum"].sensitivity and rate["manual"].specificity > 0.8
+
+
 def test_two_sided_truth_finds_bad_witnesses():
     rng = np.random.default_rng(5)
     true = rng.random(20000) < 0.5

@@ -14,7 +14,7 @@ from .near_copies import expand_pairs, groups, near_copies
 from .neighbours import similar_vectors
 from .packing import fill_report, pack_documents
 from .spam import line_shares, spam_pages
-from .survivors import build_survivors, judge_values, pick_fields
+from .survivors import build_survivors, judge_descriptions, judge_values, pick_fields
 from .tokens import count_corpus, decode_corpus, encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,11 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
-    """(source, sensitivity, specificity) inferred from the tags."""
-    return judge_values(table(spark, d, "entities"), table(spark, d, "source_trust"), "tags")[1]
+    """(field_name, source, sensitivity, specificity) inferred from the tags and from the descriptions."""
+    e, trust = table(spark, d, "entities"), table(spark, d, "source_trust")
+    rates = {"tags": judge_values(e, trust, "tags")[1], "description": judge_descriptions(e, trust)[1]}
+    one, two = (r.select(F.lit(f).alias("field_name"), "*") for f, r in rates.items())
+    return one.unionByName(two)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """One surviving record of each group of records with an id, field by field.
 
 Scalar fields are taken from one record each by the order of trust, time and record number; a
-description must say something. Whether it does is a latent truth with several witnesses (patterns,
-stock phrases, spread over ids, the entity's own name) whose sensitivity and specificity are inferred
-by expectation-maximisation, as are those of the sources for the multi-valued fields, where every
-value judged true is kept. Groups are only ever folded by partial aggregates: none is collected.
+description must say something. Whether it does is a latent truth that the sources and four signs
+witness: a source backs the text of another if its own for the entity is the same or shares a word
+of the entity's own with it, and is silent if it describes the entity otherwise; a sign (stock phrase, filler,
+spread over ids, the entity's own name) is silent on texts it has nothing against. The sensitivity
+and specificity of each are inferred by expectation-maximisation, so that sources that agree can
+overrule a sign; in the same way those of the sources for the multi-valued fields, where every value
+judged true is kept. Groups are only ever folded by partial aggregates: none is collected.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_LIMIT, estimated_bytes
+from ..session import BROADCAST_LIMIT, checkpoint, estimated_bytes
 from .truth import fit
 
 FROM, TO = "2023-01-01", "2026-06-01"  # usable created_at: from the first, before the second
@@ -31,8 +34,9 @@ FILLER = (
     r"|^traceback|exception in thread|^#(ref|n/a|value|name|div)"
 )
 SHARE, LEAST = 0.0005, 3  # a text that this share of all records and this many ids carry is boilerplate; so at most 2,000 texts are
-ALARM = 0.9999  # prior specificity of a witness, as strong as the records together: its alarm alone may suffice
-WITNESSES = ("phrase", "filler", "spread", "name")
+OWN_WORD = 0.005  # a word in the descriptions of this share of all ids is no entity's own; so a few thousand words are
+SOURCES = 10  # witnesses of their own; further sources of source_trust are one witness together
+SIGNS = ("phrase", "filler", "spread", "name")
 
 
 def source_key(source: Column) -> Column:
@@ -62,48 +66,110 @@ def with_trust(records: DataFrame, trust: DataFrame) -> DataFrame:
     return joined.withColumn("__trust", F.coalesce("__t", F.lit(0))).drop("__key", "__t")
 
 
-def judge_descriptions(records: DataFrame) -> DataFrame:
-    """(record_no, id, clean, usable) of every record with a description and an id.
+def source_index(trust: DataFrame) -> list[str]:
+    """Witnesses: the SOURCES most trusted of `trust` (reference data; ties by name), and one for all others."""
+    by = trust.where("source IS NOT NULL").groupBy(source_key(F.col("source")).alias("s")).agg(F.max("trust").alias("t"))
+    return [*[r[0] for r in by.orderBy(F.desc("t"), "s").limit(SOURCES).collect()], "(other)"]
+
+
+def _witness(source: Column, names: list[str]) -> Column:
+    """The bit of a source."""
+    bits = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)])
+    return F.coalesce(F.element_at(bits, source_key(source)), F.lit(1 << (len(names) - 1))).cast("long")
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
+
+
+def _backed(d: DataFrame, called: DataFrame) -> DataFrame:
+    """(id, h, asserted, could): the sources that back each text, and those that describe the entity.
+
+    d: (id, h, bit, clean); called: (nid, n), the names of the entities, whose words describe nothing. A hot entity is
+    folded by (id, word) before any shuffle, so its records never meet."""
+    said = d.select("id", "h", "bit", F.explode(_words(F.col("clean"))).alias("w"))
+    said = said.groupBy("id", F.xxhash64("w").alias("w"), "h").agg(F.bit_or("bit").alias("bit"))
+    by_word = said.groupBy("id", "w").agg(F.bit_or("bit").alias("m"))
+    ids = by_word.agg(F.approx_count_distinct("id")).head()[0]
+    common = by_word.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST, OWN_WORD * ids)).select("w")
+    # words of the entity's own that two sources use
+    shared = by_word.where(F.bit_count("m") > 1).join(F.broadcast(common), "w", "left_anti")
+    names = called.select(F.col("nid").alias("id"), F.explode(_words(F.col("n"))).alias("w")).select("id", F.xxhash64("w").alias("w")).distinct()
+    shared = shared.join(names, ["id", "w"], "left_anti")
+    back = said.select("id", "w", "h").join(shared, ["id", "w"]).groupBy("id", "h").agg(F.bit_or("m").alias("m"))
+    own = d.groupBy("id", "h").agg(F.bit_or("bit").alias("own"))
+    could = d.groupBy("id").agg(F.bit_or("bit").alias("could"))
+    # the only source of a text is no witness of it
+    alone = F.when(F.bit_count("own") == 1, F.col("own")).otherwise(F.lit(0).cast("long"))
+    got = own.join(back, ["id", "h"], "left").join(could, "id")
+    return got.select("id", "h", F.coalesce("m", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(alone)).alias("asserted"), F.col("could").bitwiseAND(F.bitwise_not(alone)).alias("could"))
+
 
-    Four witnesses say whether a text is empty of meaning; their rates are fitted over all records."""
+def judge_descriptions(records: DataFrame, trust: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(record_no, id, clean, usable) of every record with a description and an id, and (source, sensitivity, specificity).
+
+    A text is judged once for an entity, whatever records carry it. Patterns of who backs it are counted over all
+    records; their number depends on the sources, not on the records (at most 16 * 3^(SOURCES + 1))."""
+    names = source_index(trust)
     d = records.where(F.col("description").isNotNull() & F.col("id").isNotNull()).select(
-        "id", "record_no", squeezed(F.col("description")).alias("clean"), F.lower("name").alias("own")
+        "id", "record_no", squeezed(F.col("description")).alias("clean"), F.lower("name").alias("own"), _witness(F.col("source"), names).alias("bit")
     )
-    d = d.withColumn("letters", _letters(F.col("clean"))).withColumn("h", F.xxhash64(F.lower("clean")))
+    d = d.withColumn("low", F.lower("clean")).withColumn("letters", _letters(F.col("clean"))).withColumn("h", F.xxhash64("low"))
     total = d.count()
     spread = (
         d.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n"))
         .where(F.col("n") >= F.lit(max(LEAST, SHARE * total))).select("h", F.lit(True).alias("many"))
     )
-    names = records.where(F.col("id").isNotNull()).select(
+    called = records.where(F.col("id").isNotNull()).select(
         F.col("id").alias("nid"),
         F.explode(F.concat(F.array("name", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"),
     )
-    names = names.where(F.trim("n") != "").select("nid", F.xxhash64(_bag(F.col("n"))).alias("nb")).distinct()
-    # only a text with few words can be a name
+    called = called.where(F.trim("n") != "")
+    bags = called.select("nid", F.xxhash64(_bag(F.col("n"))).alias("nb")).distinct()
     named = (
-        d.where(F.size(F.split("clean", " ")) <= 12)
-        .join(names, (F.col("id") == F.col("nid")) & (F.xxhash64(_bag(F.col("clean"))) == F.col("nb")), "left_semi")
+        d.select("id", "record_no", F.xxhash64(_bag(F.col("clean"))).alias("b"))
+        .join(bags, (F.col("id") == F.col("nid")) & (F.col("b") == F.col("nb")), "left_semi")
         .select(F.col("record_no").alias("rn"), F.lit(True).alias("is_name"))
         .distinct()
     )
     seen = d.join(F.broadcast(spread), "h", "left").join(named, F.col("record_no") == F.col("rn"), "left")
-    says = (
+    against = (
         F.when((F.col("letters") == "") | F.col("letters").isin(*STOCK), 1).otherwise(0)
-        + F.when(F.lower("clean").rlike(FILLER), 2).otherwise(0)
+        + F.when(F.col("low").rlike(FILLER), 2).otherwise(0)
         + F.when(F.col("many"), 4).otherwise(0)
-        + F.when(F.col("is_name") | (F.levenshtein(F.lower("clean"), F.col("own"), 3) >= 0), 8).otherwise(0)
+        + F.when(F.col("is_name") | (F.levenshtein(F.col("low"), F.col("own"), 3) >= 0), 8).otherwise(0)
     )
-    seen = seen.select("id", "record_no", "clean", says.cast("int").alias("mask"))
-    counts = {r["mask"]: r["count"] for r in seen.groupBy("mask").count().collect()}  # at most 16 rows
-    masks = np.array(sorted(counts), dtype=np.int64)
-    # a witness that is silent on a text that another one knows to be empty doesn't know its kind, and abstains
-    post, *_ = fit(
-        masks, np.where(masks > 0, masks, 15), np.array([counts[m] for m in masks], dtype=float), len(WITNESSES),
-        prior=0.1, sens0=0.5, spec0=ALARM, prior_sens=(2.0, 2.0), prior_spec=(total * ALARM + 1, total * (1 - ALARM) + 1e-4),
+    backed = _backed(d.select("id", "h", "bit", "clean"), called)
+    seen = checkpoint(seen.select("id", "h", "record_no", "clean", against.cast("long").alias("against")).join(backed, ["id", "h"]).drop("h"))
+    rows = seen.groupBy("against", "asserted", "could").count().collect()
+    x, a, c, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+    post, sens, spec = judge_patterns(x, a, c, n, len(names))
+    bad = records.sparkSession.createDataFrame(
+        [(int(i), int(j), int(k)) for i, j, k, p in zip(x, a, c, post) if p < 0.5], "against long, asserted long, could long"
+    )
+    judged = seen.join(F.broadcast(bad.withColumn("bad", F.lit(True))), ["against", "asserted", "could"], "left")
+    return judged.select("id", "record_no", "clean", F.col("bad").isNull().alias("usable")), _rates(records.sparkSession, names, sens, spec)
+
+
+def judge_patterns(against: np.ndarray, asserted: np.ndarray, could: np.ndarray, count: np.ndarray, sources: int):
+    """(probability that the texts of a pattern say something, sensitivity and specificity of sources and signs).
+
+    Signs are bits after those of the sources, asserting where they have nothing against a text; where another one has
+    something against it, a silent sign may only not know this kind and abstains."""
+    k, signs = sources, len(SIGNS)
+    every = (1 << signs) - 1
+    free = np.where(against == 0, every, 0)
+    can = np.where(against == 0, every, against)
+    prior = lambda source, sign: np.array([source] * k + [sign] * signs, dtype=float)
+    post, sens, spec, _ = fit(
+        asserted | (free << k), could | (can << k), count.astype(float), k + signs, prior=0.85,
+        sens0=prior(0.6, 0.99), spec0=prior(0.8, 0.5), prior_sens=(prior(6, 99), prior(4, 1)), prior_spec=(prior(9, 5), prior(1, 5)),
     )
-    empty = [int(m) for m, p in zip(masks, post) if p > 0.5]
-    return seen.withColumn("usable", ~F.col("mask").isin(*empty) if empty else F.lit(True)).drop("mask")
+    return post, sens, spec
+
+
+def _rates(spark, names: list[str], sens: np.ndarray, spec: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(m, round(float(x), 4), round(float(y), 4)) for m, x, y in zip(names, sens, spec)], "source string, sensitivity double, specificity double")
 
 
 def pick_fields(records: DataFrame, trust: DataFrame) -> DataFrame:
@@ -112,7 +178,7 @@ def pick_fields(records: DataFrame, trust: DataFrame) -> DataFrame:
     One row per id of two or more records and field with a usable value. Null ids name no entity and
     are left out; repeated rows count as records; NaN, null and impossible values are not usable."""
     r = with_trust(records.select("id", "record_no", "source", "confidence", "created_at"), trust)
-    judged = judge_descriptions(records).where("usable").select(
+    judged = judge_descriptions(records, trust)[0].where("usable").select(
         F.col("record_no").alias("__r"), F.length("clean").alias("__len")
     )
     r = r.where(F.col("id").isNotNull()).join(judged, F.col("record_no") == F.col("__r"), "left")
@@ -135,27 +201,18 @@ def pick_fields(records: DataFrame, trust: DataFrame) -> DataFrame:
     return best.where("n >= 2").select("id", F.inline(rows)).where(F.col("record_no").isNotNull())
 
 
-def source_index(trust: DataFrame) -> list[str]:
-    """Witness numbers of the sources: those of `trust` (reference data, at most 40 rows) and one for all others."""
-    names = sorted({r[0] for r in trust.select(source_key(F.col("source"))).limit(41).collect() if r[0] is not None})
-    if len(names) > 40:
-        raise ValueError("source_trust has more than 40 sources")
-    return [*names, "(other)"]
-
-
 def judge_values(records: DataFrame, trust: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
     """(id, value, p_true) of every value of a multi-valued field, and (source, sensitivity, specificity).
 
     A source that lists anything for an id, but not this value, speaks against it. Values are compared
     by their squeezed text; null and blank ones are none."""
     names = source_index(trust)
-    number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), source_key(F.col("source"))), F.lit(len(names) - 1))
-    said = records.where(F.col("id").isNotNull() & (F.size(field) > 0)).select("id", number.alias("w"), F.explode(field).alias("v"))
-    said = said.select("id", F.expr("shiftleft(1L, w)").alias("bit"), squeezed(F.col("v")).alias("value")).where("value != ''")
+    said = records.where(F.col("id").isNotNull() & (F.size(field) > 0)).select("id", _witness(F.col("source"), names).alias("bit"), F.explode(field).alias("v"))
+    said = said.select("id", "bit", squeezed(F.col("v")).alias("value")).where("value != ''")
     facts = said.groupBy("id", "value").agg(F.bit_or("bit").alias("asserted"))
     could = said.groupBy("id").agg(F.bit_or("bit").alias("could"))
     facts = facts.join(could, "id")
-    # patterns of who asserts and who could; their number depends on the sources, not on the records
+    # patterns of who asserts and who could; their number depends on the sources, not on the records (at most 3^(SOURCES + 1))
     seen = facts.groupBy("asserted", "could").count().collect()
     a, c, n = (np.array([r[k] for r in seen], dtype=np.int64) for k in range(3))
     post, sens, spec, _ = fit(a, c, n.astype(float), len(names))
@@ -163,8 +220,7 @@ def judge_values(records: DataFrame, trust: DataFrame, field: str) -> tuple[Data
     p = spark.createDataFrame(
         [(int(x), int(y), float(z)) for x, y, z in zip(a, c, post)], "asserted long, could long, p_true double"
     )
-    rates = spark.createDataFrame([(m, round(float(x), 4), round(float(y), 4)) for m, x, y in zip(names, sens, spec)], "source string, sensitivity double, specificity double")
-    return facts.join(F.broadcast(p) if len(seen) < 100_000 else p, ["asserted", "could"]).select("id", "value", "p_true"), rates
+    return facts.join(F.broadcast(p), ["asserted", "could"]).select("id", "value", "p_true"), _rates(spark, names, sens, spec)
 
 
 def build_survivors(records: DataFrame, trust: DataFrame, multi: tuple[str, ...] = ("aliases", "tags")) -> DataFrame:
