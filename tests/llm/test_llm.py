@@ -258,6 +258,35 @@ def test_links(spark):
     assert name_links.link_names(m, e.where("false"), short).count() == 0
 
 
+def test_links_of_long_names(spark):
+    """Names of thirteen words and of five hundred are linked by a misspelt text like any other; a longer text names nobody by its parts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    names = {"n13": " ".join(word() for _ in range(13)), "n500": " ".join(word() for _ in range(500)), "n2": word() + " " + word()}
+    e = spark.createDataFrame([(i, "organization", n, None) for i, n in names.items()] + [(f"x{i}", "organization", word(), None) for i in range(40)], "id string, entity_type string, name string, aliases array<string>")
+    short = spark.createDataFrame([], "full_form string, short_form string, form_kind string")
+    typo = lambda n: n[:9] + n[10:]
+    m = [(i, t) for i, t in enumerate([names["n13"], typo(names["n13"]), names["n500"], typo(names["n500"]), names["n2"], " ".join(word() for _ in range(700))])]
+    got = {r.mention_id: r.id for r in name_links.link_names(spark.createDataFrame(m, "mention_id int, text string"), e, short).collect()}
+    assert got == {0: "n13", 1: "n13", 2: "n500", 3: "n500", 4: "n2"}
+
+
+def test_links_of_a_surname_that_many_bear(spark):
+    """A third of texts and entities share a core: hot keys are split and nothing is lost."""
+    given = ["".join(c) for c in itertools.product("BDFGK", "aeiou", "lmnr", "aeiou", "s")]
+    people = [(f"p{i}", "person", f"{g} Sopalopaste", None) for i, g in enumerate(given)]
+    e = people + [(f"q{i}_{j}", "person", f"{g} {f}", None) for i, g in enumerate(given) for j, f in enumerate(("Lekaribeshu", "Tumanirofa"))]
+    e = spark.createDataFrame(e, "id string, entity_type string, name string, aliases array<string>")
+    short = spark.createDataFrame([], "full_form string, short_form string, form_kind string")
+    m = spark.createDataFrame([(i, f"{g} Sopalopatse") for i, g in enumerate(given)], "mention_id int, text string")
+    import tidegraph.operators.skew as skew
+
+    want = {(i, f"p{i}") for i in range(len(given))}
+    for heavy in (skew.HEAVY, 20):
+        with mock.patch.object(skew.skewed_join, "__defaults__", (heavy,)):
+            assert {tuple(r) for r in name_links.link_names(m, e, short).collect()} == want
+
+
 # -- near copies ----------------------------------------------------------------------------
 def _runs(a, b):
     w = re.findall(r"[^\W_]+", f"{a or ''} {b or ''}".lower())
@@ -292,6 +321,20 @@ def test_large_classes_are_stars(spark):
     assert got.select("group_id").distinct().count() == 1 and got.count() == 100
 
 
+def test_hot_band_keys_are_cut_into_blocks(spark):
+    """Notices on one form share their band keys; in blocks the same pairs are found."""
+    rng = random.Random(6)
+    form = "the harbour office gives notice that the berth is closed to all traffic until the works on the quay are done and the pilots were told"
+    docs = [(i, "", f"{form} {rng.choice('abcdefgh')}{rng.randint(0, 99)} {rng.randint(0, 999)}") for i in range(300)] + [(1000 + i, "", " ".join(rng.choices("kappa lima mike nova oscar papa quebec romeo".split(), k=30))) for i in range(60)]
+    df = spark.createDataFrame(docs, "k int, t string, c string")
+    got = []
+    for together in (near_copies.TOGETHER, 40):
+        with mock.patch.object(near_copies, "TOGETHER", together):
+            members, pairs = near_copies.near_copies(df, "k", ["t", "c"], 0.5, 3)
+            got.append((members.count(), sorted((r.a, r.b) for r in pairs.collect())))
+    assert got[0] == got[1] and len(got[0][1]) > 30_000
+
+
 def test_thresholds_rise():
     t = near_copies.thresholds(0.5)
     assert [n for n, _ in t] == [8, 16, 24, 32] and [m for _, m in t] == sorted(m for _, m in t)

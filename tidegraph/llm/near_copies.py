@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.let import let
 from ..operators.components import connected_components
-from ..session import checkpoint
+from ..operators.skew import heavy_keys
+from ..session import BROADCAST_LIMIT, checkpoint, spread
 
 BANDS, ROWS = 32, 3
 SLOTS, BITS = 32, 4  # the sketch: values of a few bits, compared in steps of STEP
@@ -25,8 +26,9 @@ TOLERANCE = 0.001
 CHUNK = 256  # texts hashed at a time, so that the arrays stay in the cache
 #: A class of more copies than this is linked copy by copy to its first row instead of pairwise.
 EXPAND = 64
-#: Largest number of class ids (8 bytes each) that is broadcast to pick the texts to verify.
-PICK = 4_000_000
+#: Classes of one band key that are compared in one task; a key of more is cut into blocks, each compared with each.
+TOGETHER = 4_000
+TASK_BYTES = 64 << 20  # of band rows that a task reads
 
 _rng = np.random.default_rng(20240601)
 _MUL = (_rng.integers(1, 2**63, BANDS * ROWS + SLOTS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -124,8 +126,8 @@ def classes(docs: DataFrame, key: str, parts: list[str], least: int = 0, counted
     return df.where("__words != ''").select(key, F.xxhash64("__words").alias("cid"), F.col("__words").alias("words"))
 
 
-def candidate_pairs(texts: DataFrame, similarity: float, n: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """(a, b), a < b: pairs of classes that no step of the comparison dropped. texts: (cid, words)."""
+def candidate_pairs(texts: DataFrame, total: int, similarity: float, n: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """(a, b), a < b: pairs of classes that no step of the comparison dropped. texts: (cid, words), about `total` rows."""
 
     def sketch(batches):
         seen: set[int] = set()  # copies within a task are hashed and sent once
@@ -150,15 +152,25 @@ def candidate_pairs(texts: DataFrame, similarity: float, n: int, tolerance: floa
             )
 
     rows = texts.select("cid", "words").mapInArrow(sketch, "key long, cid long, s1 long, s2 long")
-    rows = rows.repartition("key").dropDuplicates(["key", "cid"])
-    pairs = rows.alias("l").join(rows.alias("r"), F.expr("l.key = r.key AND l.cid < r.cid") & _likely(similarity, tolerance))
-    return pairs.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
+    rows = rows.repartition(spread(texts.sparkSession, total * BANDS * 40, TASK_BYTES), "key").dropDuplicates(["key", "cid"])
+    heavy = F.broadcast(heavy_keys(rows, "key", total * BANDS, TOGETHER))
+    apart = rows.join(heavy.select("key"), "key", "left_anti")
+    near = _likely(similarity, tolerance)
+    light = apart.alias("l").join(apart.alias("r"), F.expr("l.key = r.key AND l.cid < r.cid") & near)
+    # the classes of a heavy key in blocks: a pair meets where its own two blocks do, and nowhere else
+    hot = rows.join(heavy, "key").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("__parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    one = hot.withColumn("c", every).select("key", F.col("b").alias("i"), F.col("c").alias("j"), "cid", "s1", "s2")
+    two = hot.withColumn("c", every).select("key", F.col("c").alias("i"), F.col("b").alias("j"), "cid", "s1", "s2")
+    blocks = one.alias("l").join(two.alias("r"), F.expr("l.key = r.key AND l.i = r.i AND l.j = r.j AND l.cid < r.cid") & near)
+    out = [F.col("l.cid").alias("a"), F.col("r.cid").alias("b")]
+    return light.select(*out).unionByName(blocks.select(*out)).distinct()
 
 
 def verified_pairs(texts: DataFrame, pairs: DataFrame, similarity: float, n: int) -> DataFrame:
     """(a, b, jaccard) of the pairs whose sets of runs reach the similarity, on 32-bit hashes of the runs."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    if ids.count() <= PICK:
+    if ids.count() * 16 <= BROADCAST_LIMIT:
         ids = F.broadcast(ids)
     picked = texts.join(ids, "cid", "left_semi")
 
@@ -203,7 +215,7 @@ def near_copies(docs: DataFrame, key: str, parts: list[str], similarity: float =
     Exact copies share a class and are not paired one by one. Null keys stay keys; null and wordless
     texts are in no class; a text of fewer words than n is one run. Repeated keys stay repeated."""
     texts = classes(docs, key, parts, least, counted)
-    pairs = checkpoint(candidate_pairs(texts, similarity, n, tolerance))
+    pairs = checkpoint(candidate_pairs(texts, docs.count(), similarity, n, tolerance))
     return checkpoint(texts.select(key, "cid")), checkpoint(verified_pairs(texts, pairs, similarity, n))
 
 
