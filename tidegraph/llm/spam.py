@@ -24,11 +24,11 @@ from ..session import checkpoint
 STATES = ("sentence", "notice", "record", "heading", "links", "hashtags", "list", "offers", "pitch", "menu")
 LABELS = ("prose", "links", "tags", "menu")
 LABEL_OF = np.array([0, 0, 0, 0, 1, 2, 2, 2, 2, 3])
-ROUNDS = 4
+ROUNDS = 3
 SHARE = 0.5
 STRETCH = 30  # words of a long line that make one unit
 NEAR = 2  # units before and after in which words are looked for again
-CELLS = 400_000  # units that one step of the recursions holds at most
+CELLS = 200_000  # units that one step of the recursions holds at most
 
 # Frequent function words of English, German, French, Spanish, Portuguese, Italian and Russian.
 FUNCTION = frozenset(
@@ -46,11 +46,11 @@ MARKS = frozenset("的了在是和与不为以及对于将被其已因至但而
 ENDINGS = ("은", "는", "이", "가", "을", "를", "의", "에", "에서", "로", "와", "과", "다", "도")
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)", re.I)
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")  # characters of scripts without blanks, words of all others
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]")
-_END = re.compile(r"[。！？؟]|[.!?…](?=[\s<\"'»”’)\]』」&]|$)")
-_ITEM = re.compile(r"[ \t]*(?:\(?\d{1,3}[.)]|[*•-])[ \t]+")  # the number of a list's line
-_SEPARATOR = re.compile(r"[,|;•·»、，；،｜؛]")
+#: Words, characters of scripts without blanks, and the marks that are counted: ends of sentences, separators, hashes of hashtags.
+_TOKEN = re.compile(r"[^\W_぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]|[,|;•·»、，；،｜؛。！？؟]|[.!?…](?=[\s<\"'»”’)\]』」&]|$)|#(?=[^\W_])")
+_SEPARATORS, _ENDS = frozenset(",|;•·»、，；،｜؛"), frozenset("。！？؟.!?…")
+_ITEM = re.compile(r"[ \t]*\(?\d{1,3}[.)][ \t]+")  # the number of a list's line
 
 #: Measures of a unit and the upper ends of their bins but the last.
 BINS: dict[str, tuple[float, ...]] = {
@@ -108,18 +108,28 @@ class _Vocabulary(dict):
     """Number of a token, with its properties in lists by number; emptied when full."""
 
     MOST = 500_000
+    WORD, WIDE, FUNCTION, DIGIT, CAPITAL, SEPARATOR, END, HASH = (1 << i for i in range(8))
 
     def __init__(self):
-        self.flags: list[tuple[bool, bool, bool, bool]] = []
+        self.flags: list[int] = []
         self.lower: list[int] = []  # number of the token in lower case
 
     def __missing__(self, w: str) -> int:
         self[w] = n = len(self.flags)
         low = w.lower()
         self.lower.append(n)
-        wide = bool(_UNSPACED.match(w))
-        f = w in MARKS if wide else low in FUNCTION or "가" <= w[0] <= "힣" and len(w) > 1 and w.endswith(ENDINGS)
-        self.flags.append((wide, f, any(map(str.isdigit, w)), w[0].isupper()))
+        if w in _SEPARATORS:
+            f = self.SEPARATOR
+        elif w in _ENDS:
+            f = self.END
+        elif w == "#":
+            f = self.HASH
+        elif _UNSPACED.match(w):
+            f = self.WORD | self.WIDE | self.FUNCTION * (w in MARKS)
+        else:
+            function = low in FUNCTION or "가" <= w[0] <= "힣" and len(w) > 1 and w.endswith(ENDINGS)
+            f = self.WORD | self.FUNCTION * function | self.DIGIT * any(map(str.isdigit, w)) | self.CAPITAL * w[0].isupper()
+        self.flags.append(f)
         if low != w:
             self.lower[n] = self[low]
         return n
@@ -134,71 +144,71 @@ class _Vocabulary(dict):
 _vocabulary = _Vocabulary()
 
 
-def units(text: str) -> list[tuple[str, list[str]]]:
-    """(unit, tokens) of each line, a long line in stretches; lines without tokens make none."""
-    out = []
-    for line in text.split("\n"):
-        ts = _TOKEN.findall(line)
-        if len(ts) <= STRETCH * 2:
-            if ts:
-                out.append((line, ts))
-            continue
-        begins = [m.start() for m in _TOKEN.finditer(line)]
-        if _UNSPACED.search(line):
-            total = np.cumsum([0.5 if _UNSPACED.match(w) else 1 for w in ts])
-            cuts = np.searchsorted(total, np.arange(STRETCH, total[-1], STRETCH)) + 1
-        else:
-            cuts = range(STRETCH, len(ts), STRETCH)
-        at = begin = 0
-        for cut in (*cuts, len(ts)):
-            end = begins[cut] if cut < len(ts) else len(line)
-            if cut > at:
-                out.append((line[begin:end], ts[at:cut]))
-            at, begin = cut, end
-    return out
-
-
 def observe(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(codes, words) of each text: the binned measures of its units as one number each, and their words.
 
-    Two characters of a script without blanks count as a word. A null or wordless text has no unit."""
-    _vocabulary.trim()
-    per, flat, size, link, tags, ends, seps, items = [], [], [], [], [], [], [], []
-    for t in texts:
-        n = 0
-        if t:
-            low = t.lower()
-            linked = "http" in low or "www." in low or "](" in low or "href" in low
-            hashed, listed = "#" in t, _ITEM.search(t) is not None
-            for u, ts in units(t):
-                n += 1
+    A unit is a line, or a stretch of STRETCH words of a long one; lines without words make none. Two characters of a
+    script without blanks count as a word. A null or wordless text has no unit."""
+    v = _vocabulary
+    v.trim()
+    flat, held, page, link, item = [], [], [], [], []
+    find = _TOKEN.findall
+    for p, t in enumerate(texts):
+        if not t:
+            continue
+        low = t.lower()
+        linked = "http" in low or "www." in low or "](" in low or "href" in low
+        for line in t.split("\n"):
+            ts = find(line)
+            if ts:
                 flat += ts
-                size.append(len(ts))
-                link.append(sum(map(len, _LINK.findall(u))) / max(1, len(u.strip())) if linked else 0.0)
-                tags.append(sum(w[0] == "#" and w[1:2].isalnum() for w in u.split()) if hashed else 0)
-                ends.append(_END.search(u) is not None)
-                seps.append(len(_SEPARATOR.findall(u)))
-                m = _ITEM.match(u) if listed else None
-                items.append(1 if m and any(c.isdigit() for c in m[0]) else 0)
-        per.append(n)
-    count = len(size)
-    if not count:
-        return [np.zeros(0, np.int64) for _ in texts], [np.zeros(0) for _ in texts]
-    ids = np.fromiter(map(_vocabulary.__getitem__, flat), dtype=np.int64, count=len(flat))
-    lower = np.array(_vocabulary.lower, dtype=np.int64)[ids]
-    flags = np.array(_vocabulary.flags, dtype=bool)
-    wide, function, digit, capital = (flags[ids, k] for k in range(4))
-    size, items = np.array(size), np.array(items)
+                held.append(len(ts))
+                page.append(p)
+                link.append(sum(map(len, _LINK.findall(line))) / max(1, len(line.strip())) if linked else 0.0)
+                item.append(_ITEM.match(line) is not None)
+    none = [np.zeros(0, np.int64) for _ in texts], [np.zeros(0) for _ in texts]
+    ids = np.fromiter(map(v.__getitem__, flat), dtype=np.int64, count=len(flat))
+    flags = np.array(v.flags, dtype=np.int64)[ids] if flat else ids
+    has = lambda f: (flags & f) != 0
+    weight = np.where(has(v.WIDE), 0.5, 1.0) * has(v.WORD)
+    held = np.array(held, dtype=np.int64)
+    line = np.repeat(np.arange(len(held)), held)
+    total = np.bincount(line, weight, len(held))
+    if not total.any():
+        return none
+    # units: the stretches of the lines that hold words, numbered on; a mark goes with the word before it
+    said = np.cumsum(weight)
+    said -= np.repeat(np.concatenate([[0.0], said[np.cumsum(held)[:-1] - 1]]), held)
+    stretch = np.where(total[line] > 2 * STRETCH, np.floor(np.maximum(said - 0.5, 0) / STRETCH), 0).astype(np.int64)
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (line[1:] != line[:-1]) | (stretch[1:] != stretch[:-1])
+    mark_unit = np.cumsum(new) - 1
+    whole = np.bincount(mark_unit, weight)
+    number = np.cumsum(whole > 0) - 1  # wordless lines fall out
+    kept = whole[mark_unit] > 0
+    of = lambda f: np.bincount(number[mark_unit[kept]], has(f)[kept].astype(float), count)
+    count = int(number[-1]) + 1
+    words = whole[whole > 0]
+    own_line = line[new][whole > 0]
+    head_of_line = np.ones(count, dtype=bool)
+    head_of_line[1:] = own_line[1:] != own_line[:-1]
+    page, link = np.array(page)[own_line], np.array(link)[own_line]
+    per = np.bincount(page, minlength=len(texts))
+    seps, ends, tags, function, digits, capitals = (of(f) for f in (v.SEPARATOR, v.END, v.HASH, v.FUNCTION, v.DIGIT, v.CAPITAL))
+    wide_words = of(v.WIDE)
+
+    # from here on words only
+    is_word = has(v.WORD)
+    unit, wide = number[mark_unit[is_word]], has(v.WIDE)[is_word]
+    lower = np.array(v.lower, dtype=np.int64)[ids[is_word]]
+    size = np.bincount(unit, minlength=count)
     first = np.cumsum(size) - size
-    unit = np.repeat(np.arange(count), size)
-    weight = np.where(wide, 0.5, 1.0)
-    words = np.bincount(unit, weight, count)
-    page = np.repeat(np.arange(len(texts)), per)
+    items = (np.array(item)[own_line] & head_of_line & (size > 1)).astype(np.int64)
 
     # runs of two words, or of three characters, that come again within NEAR units; a list's number is none of its words
-    spoken = np.ones(len(ids), dtype=bool)
+    n = len(lower)
+    spoken = np.ones(n, dtype=bool)
     spoken[first[items == 1]] = False
-    n = len(ids)
     nxt, two = np.minimum(np.arange(n) + 1, n - 1), np.minimum(np.arange(n) + 2, n - 1)
     same, far = (unit[nxt] == unit) & (nxt > np.arange(n)), (unit[two] == unit) & (two > nxt)
     three = wide & far & wide[nxt]
@@ -234,22 +244,20 @@ def observe(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]
     group = np.cumsum(new) - 1
     alike = np.zeros(count)
     alike[pair] = np.bincount(group)[group]
-    total = np.array(per)[page]
-    heads = np.where((alike >= 3) & (total >= 4), alike / total, 0.0)
+    heads = np.where((alike >= 3) & (per[page] >= 4), alike / per[page], 0.0)
 
-    letters = np.bincount(unit, (~wide & ~digit).astype(float), count)
     values = {
-        "link": np.array(link),
-        "hashtag": np.array(tags) / words,
-        "function": np.bincount(unit, function.astype(float), count) / words,
-        "end": np.array(ends, dtype=float),
+        "link": link,
+        "hashtag": tags / words,
+        "function": function / words,
+        "end": ends,
         "within": said[0],
         "near": said[1],
         "dense": np.where(most > 2, most / words, 0.0),
-        "piece": words / (1 + np.array(seps)),
-        "marks": np.array(seps) / words,
-        "digit": np.bincount(unit, digit.astype(float), count) / words,
-        "capital": np.bincount(unit, (capital & ~wide).astype(float), count) / np.maximum(letters, 1),
+        "piece": words / (1 + seps),
+        "marks": seps / words,
+        "digit": digits / words,
+        "capital": capitals / np.maximum(size - wide_words - digits, 1),
         "head": heads,
         "words": words,
     }
@@ -392,8 +400,8 @@ def fit_lines(seen: DataFrame, rounds: int = ROUNDS):
     def step(batches):
         total = None
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                got = expected_counts(_sequences(pa.concat_arrays([b.column(0).slice(i, 2000)])), model)
+            for i in range(0, b.num_rows, 10_000):
+                got = expected_counts(_sequences(pa.concat_arrays([b.column(0).slice(i, 10_000)])), model)
                 total = got if total is None else total + got
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
