@@ -328,11 +328,11 @@ def test_hot_band_keys_are_cut_into_blocks(spark):
     docs = [(i, "", f"{form} {rng.choice('abcdefgh')}{rng.randint(0, 99)} {rng.randint(0, 999)}") for i in range(300)] + [(1000 + i, "", " ".join(rng.choices("kappa lima mike nova oscar papa quebec romeo".split(), k=30))) for i in range(60)]
     df = spark.createDataFrame(docs, "k int, t string, c string")
     got = []
-    for together in (near_copies.TOGETHER, 40):
-        with mock.patch.object(near_copies, "TOGETHER", together):
+    for together, sampled in ((near_copies.TOGETHER, near_copies.SAMPLED), (40, 1), (40, 8)):
+        with mock.patch.multiple(near_copies, TOGETHER=together, SAMPLED=sampled):
             members, pairs = near_copies.near_copies(df, "k", ["t", "c"], 0.5, 3)
             got.append((members.count(), sorted((r.a, r.b) for r in pairs.collect())))
-    assert got[0] == got[1] and len(got[0][1]) > 30_000
+    assert got[0] == got[1] == got[2] and len(got[0][1]) > 30_000
 
 
 def test_thresholds_rise():

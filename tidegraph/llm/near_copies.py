@@ -28,7 +28,8 @@ CHUNK = 256  # texts hashed at a time, so that the arrays stay in the cache
 EXPAND = 64
 #: Classes of one band key that are compared in one task; a key of more is cut into blocks, each compared with each.
 TOGETHER = 4_000
-TASK_BYTES = 64 << 20  # of band rows that a task reads
+TASK_BYTES = 16 << 20  # of band rows that a task reads
+SAMPLED = 32  # one class in so many is counted to find the heavy keys; what is split doesn't change the pairs
 
 _rng = np.random.default_rng(20240601)
 _MUL = (_rng.integers(1, 2**63, BANDS * ROWS + SLOTS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -126,8 +127,10 @@ def classes(docs: DataFrame, key: str, parts: list[str], least: int = 0, counted
     return df.where("__words != ''").select(key, F.xxhash64("__words").alias("cid"), F.col("__words").alias("words"))
 
 
-def candidate_pairs(texts: DataFrame, total: int, similarity: float, n: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """(a, b), a < b: pairs of classes that no step of the comparison dropped. texts: (cid, words), about `total` rows."""
+def candidate_pairs(texts: DataFrame, some: DataFrame, total: int, similarity: float, n: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """(a, b), a < b: pairs of classes that no step of the comparison dropped.
+
+    texts: (cid, words), about `total` rows; some: one in SAMPLED of them, by which heavy keys are known before."""
 
     def sketch(batches):
         seen: set[int] = set()  # copies within a task are hashed and sent once
@@ -151,9 +154,10 @@ def candidate_pairs(texts: DataFrame, total: int, similarity: float, n: int, tol
                 [pa.array(key.view(np.int64).ravel()), *[pa.array(np.repeat(x, BANDS)) for x in (own, *s)]], names=["key", "cid", "s1", "s2"]
             )
 
-    rows = texts.select("cid", "words").mapInArrow(sketch, "key long, cid long, s1 long, s2 long")
+    banded = lambda x: x.select("cid", "words").mapInArrow(sketch, "key long, cid long, s1 long, s2 long")
+    heavy = F.broadcast(heavy_keys(banded(some).select("key", "cid").distinct(), "key", total * BANDS // SAMPLED, max(1, TOGETHER // SAMPLED)))
+    rows = banded(texts)
     rows = rows.repartition(spread(texts.sparkSession, total * BANDS * 40, TASK_BYTES), "key").dropDuplicates(["key", "cid"])
-    heavy = F.broadcast(heavy_keys(rows, "key", total * BANDS, TOGETHER))
     apart = rows.join(heavy.select("key"), "key", "left_anti")
     near = _likely(similarity, tolerance)
     light = apart.alias("l").join(apart.alias("r"), F.expr("l.key = r.key AND l.cid < r.cid") & near)
@@ -215,7 +219,8 @@ def near_copies(docs: DataFrame, key: str, parts: list[str], similarity: float =
     Exact copies share a class and are not paired one by one. Null keys stay keys; null and wordless
     texts are in no class; a text of fewer words than n is one run. Repeated keys stay repeated."""
     texts = classes(docs, key, parts, least, counted)
-    pairs = checkpoint(candidate_pairs(texts, docs.count(), similarity, n, tolerance))
+    some = classes(docs.where(F.pmod(F.xxhash64(*[F.col(f"`{p}`") for p in parts]), F.lit(SAMPLED)) == 0), key, parts, least, counted)
+    pairs = checkpoint(candidate_pairs(texts, some, docs.count(), similarity, n, tolerance))
     return checkpoint(texts.select(key, "cid")), checkpoint(verified_pairs(texts, pairs, similarity, n))
 
 
