@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from ..session import BROADCAST_LIMIT, checkpoint, estimated_bytes
 from .truth import fit
 
@@ -34,7 +35,7 @@ FILLER = (
     r"|^traceback|exception in thread|^#(ref|n/a|value|name|div)"
 )
 SHARE, LEAST = 0.0005, 3  # a text that this share of all records and this many ids carry is boilerplate; so at most 2,000 texts are
-OWN_WORD = 0.005  # a word in the descriptions of this share of all ids is no entity's own; so a few thousand words are
+OWN_WORD = 0.005  # a word in this share of all descriptions is no entity's own; so at most words per text / OWN_WORD are
 SOURCES = 10  # witnesses of their own; further sources of source_trust are one witness together
 SIGNS = ("phrase", "filler", "spread", "name")
 
@@ -82,23 +83,22 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
 
 
-def _backed(d: DataFrame, called: DataFrame) -> DataFrame:
+def _backed(d: DataFrame, small: DataFrame, called: DataFrame, texts: int) -> DataFrame:
     """(id, h, asserted, could): the sources that back each text, and those that describe the entity.
 
-    d: (id, h, bit, clean); called: (nid, n), the names of the entities, whose words describe nothing. A hot entity is
-    folded by (id, word) before any shuffle, so its records never meet."""
-    said = d.select("id", "h", "bit", F.explode(_words(F.col("clean"))).alias("w"))
-    said = said.groupBy("id", F.xxhash64("w").alias("w"), "h").agg(F.bit_or("bit").alias("bit"))
-    by_word = said.groupBy("id", "w").agg(F.bit_or("bit").alias("m"))
-    ids = by_word.agg(F.approx_count_distinct("id")).head()[0]
-    common = by_word.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST, OWN_WORD * ids)).select("w")
+    d: (id, h, bit, clean) of `texts` rows; small: its (id, h, bit); called: (nid, n), the names of the entities, whose
+    words describe nothing. Words that many texts hold go first; a hot entity is folded by (id, word) before any shuffle,
+    so its records never meet."""
+    words = d.select("id", "h", "bit", F.explode(_words(F.col("clean"))).alias("w")).withColumn("w", F.xxhash64("w"))
+    common = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST, OWN_WORD * texts)).select("w")
+    said = checkpoint(words.join(F.broadcast(common), "w", "left_anti").groupBy("id", "w", "h").agg(F.bit_or("bit").alias("bit")))
     # words of the entity's own that two sources use
-    shared = by_word.where(F.bit_count("m") > 1).join(F.broadcast(common), "w", "left_anti")
-    names = called.select(F.col("nid").alias("id"), F.explode(_words(F.col("n"))).alias("w")).select("id", F.xxhash64("w").alias("w")).distinct()
+    shared = said.groupBy("id", "w").agg(F.bit_or("bit").alias("m")).where(F.bit_count("m") > 1)
+    names = called.select(F.col("nid").alias("id"), F.explode(_words(F.col("n"))).alias("w")).select("id", F.xxhash64("w").alias("w"))
     shared = shared.join(names, ["id", "w"], "left_anti")
     back = said.select("id", "w", "h").join(shared, ["id", "w"]).groupBy("id", "h").agg(F.bit_or("m").alias("m"))
-    own = d.groupBy("id", "h").agg(F.bit_or("bit").alias("own"))
-    could = d.groupBy("id").agg(F.bit_or("bit").alias("could"))
+    own = small.groupBy("id", "h").agg(F.bit_or("bit").alias("own"))
+    could = small.groupBy("id").agg(F.bit_or("bit").alias("could"))
     # the only source of a text is no witness of it
     alone = F.when(F.bit_count("own") == 1, F.col("own")).otherwise(F.lit(0).cast("long"))
     got = own.join(back, ["id", "h"], "left").join(could, "id")
@@ -106,41 +106,37 @@ def _backed(d: DataFrame, called: DataFrame) -> DataFrame:
 
 
 def judge_descriptions(records: DataFrame, trust: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(record_no, id, clean, usable) of every record with a description and an id, and (source, sensitivity, specificity).
+    """(record_no, id, chars, usable) of every record with a description and an id, and (source, sensitivity, specificity).
 
-    A text is judged once for an entity, whatever records carry it. Patterns of who backs it are counted over all
-    records; their number depends on the sources, not on the records (at most 16 * 3^(SOURCES + 1))."""
+    chars: the length of the text with white space runs as one blank. A text is judged once for an entity, whatever
+    records carry it. Patterns of who backs it are counted over all records; their number depends on the sources, not on
+    the records (at most 16 * 3^(SOURCES + 1)). Texts are read, but never shuffled."""
     names = source_index(trust)
     d = records.where(F.col("description").isNotNull() & F.col("id").isNotNull()).select(
         "id", "record_no", squeezed(F.col("description")).alias("clean"), F.lower("name").alias("own"), _witness(F.col("source"), names).alias("bit")
     )
-    d = d.withColumn("low", F.lower("clean")).withColumn("letters", _letters(F.col("clean"))).withColumn("h", F.xxhash64("low"))
-    total = d.count()
+    d = let(d, {"low": F.lower("clean"), "letters": _letters(F.col("clean"))}).withColumn("h", F.xxhash64("low"))
+    against = (
+        F.when((F.col("letters") == "") | F.col("letters").isin(*STOCK), 1).otherwise(0)
+        + F.when(F.col("low").rlike(FILLER), 2).otherwise(0)
+        + F.when(F.levenshtein(F.col("low"), F.col("own"), 3) >= 0, 8).otherwise(0)
+    )
+    small = checkpoint(d.select("id", "record_no", "h", "bit", F.length("clean").alias("chars"), F.xxhash64(_bag(F.col("clean"))).alias("b"), against.alias("against")))
+    total = small.count()
     spread = (
-        d.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= F.lit(max(LEAST, SHARE * total))).select("h", F.lit(True).alias("many"))
+        small.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= F.lit(max(LEAST, SHARE * total))).select("h", F.lit(4).alias("many"))
     )
     called = records.where(F.col("id").isNotNull()).select(
         F.col("id").alias("nid"),
         F.explode(F.concat(F.array("name", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"),
     )
     called = called.where(F.trim("n") != "")
-    bags = called.select("nid", F.xxhash64(_bag(F.col("n"))).alias("nb")).distinct()
-    named = (
-        d.select("id", "record_no", F.xxhash64(_bag(F.col("clean"))).alias("b"))
-        .join(bags, (F.col("id") == F.col("nid")) & (F.col("b") == F.col("nb")), "left_semi")
-        .select(F.col("record_no").alias("rn"), F.lit(True).alias("is_name"))
-        .distinct()
-    )
-    seen = d.join(F.broadcast(spread), "h", "left").join(named, F.col("record_no") == F.col("rn"), "left")
-    against = (
-        F.when((F.col("letters") == "") | F.col("letters").isin(*STOCK), 1).otherwise(0)
-        + F.when(F.col("low").rlike(FILLER), 2).otherwise(0)
-        + F.when(F.col("many"), 4).otherwise(0)
-        + F.when(F.col("is_name") | (F.levenshtein(F.col("low"), F.col("own"), 3) >= 0), 8).otherwise(0)
-    )
-    backed = _backed(d.select("id", "h", "bit", "clean"), called)
-    seen = checkpoint(seen.select("id", "h", "record_no", "clean", against.cast("long").alias("against")).join(backed, ["id", "h"]).drop("h"))
+    bags = called.select(F.col("nid").alias("id"), F.xxhash64(_bag(F.col("n"))).alias("b"), F.lit(8).alias("is_name")).distinct()
+    seen = small.join(F.broadcast(spread), "h", "left").join(bags, ["id", "b"], "left")
+    signs = F.col("against").bitwiseOR(F.coalesce("many", F.lit(0))).bitwiseOR(F.coalesce("is_name", F.lit(0))).cast("long")
+    backed = _backed(d.select("id", "h", "bit", "clean"), small.select("id", "h", "bit"), called, total)
+    seen = checkpoint(seen.select("id", "h", "record_no", "chars", signs.alias("against")).join(backed, ["id", "h"]).drop("h"))
     rows = seen.groupBy("against", "asserted", "could").count().collect()
     x, a, c, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
     post, sens, spec = judge_patterns(x, a, c, n, len(names))
@@ -148,7 +144,7 @@ def judge_descriptions(records: DataFrame, trust: DataFrame) -> tuple[DataFrame,
         [(int(i), int(j), int(k)) for i, j, k, p in zip(x, a, c, post) if p < 0.5], "against long, asserted long, could long"
     )
     judged = seen.join(F.broadcast(bad.withColumn("bad", F.lit(True))), ["against", "asserted", "could"], "left")
-    return judged.select("id", "record_no", "clean", F.col("bad").isNull().alias("usable")), _rates(records.sparkSession, names, sens, spec)
+    return judged.select("id", "record_no", "chars", F.col("bad").isNull().alias("usable")), _rates(records.sparkSession, names, sens, spec)
 
 
 def judge_patterns(against: np.ndarray, asserted: np.ndarray, could: np.ndarray, count: np.ndarray, sources: int):
@@ -179,7 +175,7 @@ def pick_fields(records: DataFrame, trust: DataFrame) -> DataFrame:
     are left out; repeated rows count as records; NaN, null and impossible values are not usable."""
     r = with_trust(records.select("id", "record_no", "source", "confidence", "created_at"), trust)
     judged = judge_descriptions(records, trust)[0].where("usable").select(
-        F.col("record_no").alias("__r"), F.length("clean").alias("__len")
+        F.col("record_no").alias("__r"), F.col("chars").alias("__len")
     )
     r = r.where(F.col("id").isNotNull()).join(judged, F.col("record_no") == F.col("__r"), "left")
     when = F.when((F.col("created_at") >= F.lit(FROM)) & (F.col("created_at") < F.lit(TO)), F.unix_micros(F.col("created_at").cast("timestamp")))
