@@ -35,7 +35,7 @@ FILLER = (
     r"|^traceback|exception in thread|^#(ref|n/a|value|name|div)"
 )
 SHARE, LEAST = 0.0005, 3  # a text that this share of all records and this many ids carry is boilerplate; so at most 2,000 texts are
-OWN_WORD = 0.005  # a word in this share of all descriptions is no entity's own; so at most words per text / OWN_WORD are
+OWN_WORD = 0.005  # a word in the descriptions of this share of all entities is no entity's own; so at most their words / OWN_WORD are
 SOURCES = 10  # witnesses of their own; further sources of source_trust are one witness together
 SIGNS = ("phrase", "filler", "spread", "name")
 
@@ -83,14 +83,14 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
 
 
-def _backed(d: DataFrame, small: DataFrame, called: DataFrame, texts: int) -> DataFrame:
+def _backed(d: DataFrame, small: DataFrame, called: DataFrame, ids: int) -> DataFrame:
     """(id, h, asserted, could): the sources that back each text, and those that describe the entity.
 
-    d: (id, h, bit, clean) of `texts` rows; small: its (id, h, bit); called: (nid, n), the names of the entities, whose
-    words describe nothing. Words that many texts hold go first; a hot entity is folded by (id, word) before any shuffle,
+    d: (id, h, bit, clean) of about `ids` entities; small: its (id, h, bit); called: (nid, n), the names of the entities,
+    whose words describe nothing. Words of many entities go first; a hot entity is folded by (id, word) before any shuffle,
     so its records never meet."""
     words = d.select("id", "h", "bit", F.explode(_words(F.col("clean"))).alias("w")).withColumn("w", F.xxhash64("w"))
-    common = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST, OWN_WORD * texts)).select("w")
+    common = words.groupBy("w").agg(F.approx_count_distinct("id", 0.1).alias("n")).where(F.col("n") >= max(LEAST, OWN_WORD * ids)).select("w")
     said = checkpoint(words.join(F.broadcast(common), "w", "left_anti").groupBy("id", "w", "h").agg(F.bit_or("bit").alias("bit")))
     # words of the entity's own that two sources use
     shared = said.groupBy("id", "w").agg(F.bit_or("bit").alias("m")).where(F.bit_count("m") > 1)
@@ -135,7 +135,7 @@ def judge_descriptions(records: DataFrame, trust: DataFrame) -> tuple[DataFrame,
     bags = called.select(F.col("nid").alias("id"), F.xxhash64(_bag(F.col("n"))).alias("b"), F.lit(8).alias("is_name")).distinct()
     seen = small.join(F.broadcast(spread), "h", "left").join(bags, ["id", "b"], "left")
     signs = F.col("against").bitwiseOR(F.coalesce("many", F.lit(0))).bitwiseOR(F.coalesce("is_name", F.lit(0))).cast("long")
-    backed = _backed(d.select("id", "h", "bit", "clean"), small.select("id", "h", "bit"), called, total)
+    backed = _backed(d.select("id", "h", "bit", "clean"), small.select("id", "h", "bit"), called, small.agg(F.approx_count_distinct("id")).head()[0])
     seen = checkpoint(seen.select("id", "h", "record_no", "chars", signs.alias("against")).join(backed, ["id", "h"]).drop("h"))
     rows = seen.groupBy("against", "asserted", "could").count().collect()
     x, a, c, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
