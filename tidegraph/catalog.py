@@ -35,8 +35,7 @@ REL = """rel AS (SELECT DISTINCT id, source_id, target_id, rel_type, weight, bid
 EDG = f"""{ENT}, {REL}, edg AS (SELECT r.* FROM rel r WHERE source_id IN (SELECT id FROM ent) AND target_id IN (SELECT id FROM ent))"""
 ADJ = f"""{EDG}, adj AS (SELECT id AS rel_id, rel_type, source_id AS src, target_id AS dst FROM edg UNION SELECT id, rel_type, target_id, source_id FROM edg)"""
 OUT = f"""{EDG}, adj AS (SELECT id AS rel_id, rel_type, source_id AS src, target_id AS dst FROM edg UNION SELECT id, rel_type, target_id, source_id FROM edg WHERE bidirectional)"""
-ROOTS = "roots AS (SELECT min(id) AS id FROM ent GROUP BY entity_type)"
-
+#: The stated query set of the searches: a twentieth of all ids, by their hash.
 TWENTIETH = "roots AS (SELECT id FROM ent WHERE substr(md5(id), 1, 4) < '0ccd')"
 
 
@@ -67,11 +66,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def roots(g: G.Graph) -> DataFrame:
-    """The smallest id of each type."""
-    return g.vertices.groupBy("entity_type").agg(F.min("id").alias("id")).select("id")
-
-
 def twentieth(g: G.Graph) -> DataFrame:
     """A stated query set: a twentieth of all ids, by their hash."""
     return g.vertices.where(F.substring(F.md5("id"), 1, 4) < "0ccd").select("id")
@@ -109,19 +103,12 @@ def high_exposure_count(spark, d):
 
 
 def _neighbours(sql_adj: str, direction: str):
-    name = f"neighbors_{direction}"
-
     def run(spark, d):
-        g = graph_of(spark, d)
-        return G.neighbours(g, roots(g), direction)
-
-    def run_all(spark, d):
         g = graph_of(spark, d)
         return G.neighbours(g, g.vertices.select("id"), direction)
 
-    run.__name__, run_all.__name__ = name, f"{name}_all"
-    query(f"WITH {sql_adj} SELECT a.src AS root, a.rel_id, a.rel_type, e.id, e.name, e.entity_type FROM adj a JOIN ent e ON e.id = a.dst")(run_all)
-    return query(f"WITH {sql_adj}, {ROOTS} SELECT a.src AS root, a.rel_id, a.rel_type, e.id, e.name, e.entity_type FROM roots JOIN adj a ON a.src = roots.id JOIN ent e ON e.id = a.dst")(run)
+    run.__name__ = f"neighbors_{direction}"
+    return query(f"WITH {sql_adj} SELECT a.src AS root, a.rel_id, a.rel_type, e.id, e.name, e.entity_type FROM adj a JOIN ent e ON e.id = a.dst")(run)
 
 
 _IN = f"""{EDG}, adj AS (SELECT id AS rel_id, rel_type, target_id AS src, source_id AS dst FROM edg UNION SELECT id, rel_type, source_id, target_id FROM edg WHERE bidirectional)"""
@@ -153,34 +140,47 @@ def top_hubs(spark, d):
 _BALL = levels(2, "SELECT id AS root, id AS node FROM roots", "root")
 
 
-@query(f"WITH {ADJ}, {ROOTS}, {_BALL} SELECT root, node, hops FROM reach")
+@query(f"WITH {ADJ}, {TWENTIETH}, {_BALL} SELECT root, node, hops FROM reach")
 def traverse_2hop_entities(spark, d):
     g = graph_of(spark, d)
-    return G.traverse(g, roots(g), 2)[0]
+    return G.traverse(g, twentieth(g), 2)[0]
 
 
-@query(f"WITH {ADJ}, {ROOTS}, {_BALL} SELECT DISTINCT r.root, a.rel_id FROM reach r JOIN adj a ON a.src = r.node WHERE r.hops < 2")
+@query(f"WITH {ADJ}, {TWENTIETH}, {_BALL} SELECT DISTINCT r.root, a.rel_id FROM reach r JOIN adj a ON a.src = r.node WHERE r.hops < 2")
 def traverse_2hop_relationships(spark, d):
     g = graph_of(spark, d)
-    return G.traverse(g, roots(g), 2)[1]
+    return G.traverse(g, twentieth(g), 2)[1]
 
 
-@query(f"WITH {ADJ}, {ROOTS}, {levels(5, 'SELECT id AS root, id AS node FROM roots', 'root')} SELECT root, hops, count(*) AS n FROM reach GROUP BY 1, 2")
+@query(f"WITH {ADJ}, {TWENTIETH}, {levels(5, 'SELECT id AS root, id AS node FROM roots', 'root')} SELECT root, hops, count(*) AS n FROM reach GROUP BY 1, 2")
 def shortest_path_lengths(spark, d):
     g = graph_of(spark, d)
-    return G.bfs(g.adjacency("both"), roots(g), 5).groupBy("root", "hops").agg(F.count("*").alias("n"))
+    return G.bfs(g.adjacency("both"), twentieth(g), 5).groupBy("root", "hops").agg(F.count("*").alias("n"))
 
 
-@query(None)
+def _trees_sql(n: int) -> str:
+    """Paths along the smallest predecessor of each node, level by level."""
+    out = ["p0 AS (SELECT root, node, [node] AS path FROM l0)"]
+    for i in range(1, n + 1):
+        out.append(f"""p{i} AS MATERIALIZED (SELECT root, node, list_append(path, node) AS path FROM (SELECT f.root, l.node, p.path, row_number() OVER (PARTITION BY f.root, l.node ORDER BY f.node) AS k
+FROM l{i} l JOIN adj a ON a.dst = l.node JOIN l{i - 1} f ON f.root = l.root AND f.node = a.src JOIN p{i - 1} p ON p.root = f.root AND p.node = f.node) WHERE k = 1)""")
+    return ", ".join(out) + ", trees AS (" + " UNION ALL ".join(f"SELECT root, node, {i} AS hops, path FROM p{i}" for i in range(n + 1)) + ")"
+
+
+@query(
+    f"""WITH {ADJ}, {TWENTIETH}, {levels(5, 'SELECT id AS root, id AS node FROM roots', 'root')}, {_trees_sql(5)}
+SELECT t.root, t.node, t.hops, array_to_string(t.path, '>') AS path, (SELECT string_agg(coalesce(e.name, u.id), '>' ORDER BY u.i) FROM (SELECT unnest(t.path) AS id, generate_subscripts(t.path, 1) AS i) u LEFT JOIN ent e ON e.id = u.id) AS names FROM trees t"""
+)
 def shortest_path_trees(spark, d):
     g = graph_of(spark, d)
-    return G.with_names(G.shortest_paths(g, twentieth(g)), g.vertices)
+    t = G.with_names(G.shortest_paths(g, twentieth(g)), g.vertices)
+    return t.select("root", "node", "hops", F.array_join("path", ">").alias("path"), F.array_join(F.transform("named", lambda x: x["name"]), ">").alias("names"))
 
 
-@query(f"WITH {ADJ}, {ROOTS}, {levels(3, 'SELECT id AS root, id AS node FROM roots', 'root')}, e AS (SELECT root, count(*) AS entities FROM reach GROUP BY root), r AS (SELECT root, count(*) AS relationships FROM (SELECT DISTINCT r.root, a.rel_id FROM reach r JOIN adj a ON a.src = r.node WHERE r.hops < 3) GROUP BY root) SELECT e.root, entities, coalesce(relationships, 0) AS relationships FROM e LEFT JOIN r ON r.root = e.root")
+@query(f"WITH {ADJ}, {TWENTIETH}, {levels(3, 'SELECT id AS root, id AS node FROM roots', 'root')}, e AS (SELECT root, count(*) AS entities FROM reach GROUP BY root), r AS (SELECT root, count(*) AS relationships FROM (SELECT DISTINCT r.root, a.rel_id FROM reach r JOIN adj a ON a.src = r.node WHERE r.hops < 3) GROUP BY root) SELECT e.root, entities, coalesce(relationships, 0) AS relationships FROM e LEFT JOIN r ON r.root = e.root")
 def traversal_stats_3hop(spark, d):
     g = graph_of(spark, d)
-    return G.traversal_stats(g, roots(g), 3)
+    return G.traversal_stats(g, twentieth(g), 3)
 
 
 def _chains_sql(depth: int) -> str:
@@ -194,47 +194,8 @@ def _chains_sql(depth: int) -> str:
     return ", ".join(out) + " SELECT root, array_to_string(path, '>') AS path, hops FROM (" + " UNION ALL ".join(ends) + ")"
 
 
-@query(f"WITH {OUT}, {ROOTS}, dep AS (SELECT DISTINCT src, dst, rel_id FROM adj WHERE rel_type IN ('DEPENDS_ON', 'SUPPLIES', 'SUPPLIES_TO')), {_chains_sql(4)}")
-def dependency_chains(spark, d):
-    g = graph_of(spark, d)
-    return G.dependency_chains(g, roots(g), max_depth=4).select("root", F.array_join("path", ">").alias("path"), "hops")
-
-
-@query(
-    f"""WITH {ADJ}, {ROOTS}, ends AS (SELECT id FROM roots UNION SELECT id FROM ent WHERE entity_type = 'threat'), {levels(2, 'SELECT id AS root, id AS node FROM ends', 'root')}
-SELECT root AS source, node AS target, hops FROM reach WHERE node IN (SELECT id FROM ends) AND root < node ORDER BY hops, source, target LIMIT 20"""
-)
-def critical_path_pairs(spark, d):
-    g = graph_of(spark, d)
-    return G.critical_paths(g, roots(g), max_hops=2)
-
-
-@query(f"WITH {ADJ}, {TWENTIETH}, {_BALL} SELECT root, node, hops FROM reach")
-def traverse_2hop_entities_of_twentieth(spark, d):
-    g = graph_of(spark, d)
-    return G.traverse(g, twentieth(g), 2)[0]
-
-
-@query(f"WITH {ADJ}, {TWENTIETH}, {_BALL} SELECT DISTINCT r.root, a.rel_id FROM reach r JOIN adj a ON a.src = r.node WHERE r.hops < 2")
-def traverse_2hop_relationships_of_twentieth(spark, d):
-    g = graph_of(spark, d)
-    return G.traverse(g, twentieth(g), 2)[1]
-
-
-@query(_SQL["shortest_path_lengths"].replace(ROOTS, TWENTIETH))
-def shortest_path_lengths_of_twentieth(spark, d):
-    g = graph_of(spark, d)
-    return G.bfs(g.adjacency("both"), twentieth(g), 5).groupBy("root", "hops").agg(F.count("*").alias("n"))
-
-
-@query(_SQL["traversal_stats_3hop"].replace(ROOTS, TWENTIETH))
-def traversal_stats_3hop_of_twentieth(spark, d):
-    g = graph_of(spark, d)
-    return G.traversal_stats(g, twentieth(g), 3)
-
-
 @query(f"WITH {OUT}, {TWENTIETH}, dep AS (SELECT DISTINCT src, dst, rel_id FROM adj WHERE rel_type IN ('DEPENDS_ON', 'SUPPLIES', 'SUPPLIES_TO')), {_chains_sql(5)}")
-def dependency_chains_of_twentieth(spark, d):
+def dependency_chains(spark, d):
     g = graph_of(spark, d)
     return G.dependency_chains(g, twentieth(g)).select("root", F.array_join("path", ">").alias("path"), "hops")
 
@@ -243,7 +204,7 @@ def dependency_chains_of_twentieth(spark, d):
     f"""WITH {ADJ}, {TWENTIETH}, ends AS (SELECT id FROM roots UNION SELECT id FROM ent WHERE entity_type = 'threat'), {levels(5, 'SELECT id AS root, id AS node FROM ends', 'root')}
 SELECT root AS source, node AS target, hops FROM reach WHERE node IN (SELECT id FROM ends) AND root < node ORDER BY hops, source, target LIMIT 20"""
 )
-def critical_path_pairs_of_twentieth(spark, d):
+def critical_path_pairs(spark, d):
     g = graph_of(spark, d)
     return G.critical_paths(g, twentieth(g))
 
@@ -319,12 +280,6 @@ def linked_edges_only(spark, d):
     return S.only_linked(distinct_relationships(spark, d), latest_entities(spark, d)).select("id")
 
 
-@query(f"WITH {ENT} SELECT id, array_to_string(list_sort(list_distinct(list_filter(coalesce(tags, []), lambda t: t IS NOT NULL))), ',') AS tags FROM ent WHERE confidence BETWEEN 0.9 AND 1")
-def sorted_tag_arrays(spark, d):
-    e = latest_entities(spark, d).where(F.col("confidence").between(0.9, 1))
-    return e.select("id", F.array_join(F.array_sort(F.array_distinct(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()))), ",").alias("tags"))
-
-
 @query(f"""WITH {ENT}, p AS (SELECT id, entity_type, unnest([lower(trim(id)), lower(trim(name)), lower(trim(canonical_name)), lower(trim(replace(id, '_', ' ')))]) AS pattern FROM ent
 UNION SELECT id, entity_type, lower(trim(a)) FROM (SELECT id, entity_type, unnest(aliases) AS a FROM ent)) SELECT DISTINCT pattern, id, entity_type FROM p WHERE length(pattern) >= 3""")
 def gazetteer_patterns(spark, d):
@@ -369,9 +324,12 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("title"), F.col("text")).alias("content_hash"))
 
 
-@query(None)
+@query(
+    r"""WITH l AS (SELECT doc_id, text, list_slice(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(trim(x), '^(?:[0-9]+[.)]|[-*•])\s*', ''))), lambda x: length(x) > 20), 1, 5) AS b FROM documents)
+SELECT doc_id, CASE WHEN len(b) > 0 THEN array_to_string(b, '|') ELSE trim(coalesce(text, '')) END AS lines FROM l"""
+)
 def bullet_lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.bullet_lines(F.col("text")).alias("lines"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.bullet_lines(F.col("text")), "|").alias("lines"))
 
 
 @query("SELECT event_type, json_extract_string(props, '$.k')::INT AS k, count(*) AS n FROM events GROUP BY 1, 2")
@@ -388,128 +346,6 @@ def mention_dedupe_maxconf(spark, d):
     return L.dedupe_mentions(table(spark, d, "mentions")).select("mention_id")
 
 
-@query(None)
-def normalized_surfaces(spark, d):
-    return table(spark, d, "mentions").select("mention_id", X.normalize_surface(F.col("text")).alias("surface"))
-
-
-@query(
-    f"""WITH {ENT}, f AS (SELECT id, unnest(list_concat([name, canonical_name], coalesce(aliases, []))) AS raw FROM ent), n AS (SELECT DISTINCT id, trim(regexp_replace(lower(raw), '[^a-z0-9_]+', ' ', 'g')) AS form FROM f WHERE regexp_full_match(raw, '[\\x00-\\x7f]*')),
-m AS (SELECT mention_id, trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')) AS form FROM mentions WHERE regexp_full_match(text, '[\\x00-\\x7f]*'))
-SELECT DISTINCT mention_id, id FROM m JOIN n USING (form) WHERE form <> ''"""
-)
-def exact_candidates(spark, d):
-    m = table(spark, d, "mentions").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    v = latest_entities(spark, d)
-    raw = v.select("id", "entity_type", F.explode(F.concat(F.array("name", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("raw")).where(F.col("raw").rlike(r"^[\x00-\x7f]*$"))
-    forms = raw.select("id", "entity_type", X.normalize_surface(F.col("raw")).alias("form")).where("form != ''").distinct()
-    return L.exact_candidates(m, forms).select("mention_id", "id").distinct()
-
-
-@query(None)
-def exact_candidates_all(spark, d):
-    """exact_candidates is its part that DuckDB normalises alike."""
-    return L.exact_candidates(table(spark, d, "mentions"), L.name_forms(latest_entities(spark, d))).select("mention_id", "id").distinct()
-
-
-def _tri(c: str) -> str:
-    pad = f"list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: '  ' || w || ' ')"
-    return f"list_distinct(flatten(list_transform({pad}, lambda w: list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)))))"
-
-
-@query(
-    f"""WITH {ENT}, j AS (SELECT m.mention_id, m.resolved_entity_id AS id, {_tri('m.text')} AS a, {_tri('e.name')} AS b FROM mentions m JOIN ent e ON e.id = m.resolved_entity_id
-WHERE regexp_full_match(m.text, '[\\x00-\\x7f]*') AND regexp_full_match(e.name, '[\\x00-\\x7f]*'))
-SELECT mention_id, id, CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS similarity FROM j"""
-)
-def trigram_similarity(spark, d):
-    ascii_ = lambda c: F.col(c).rlike(r"^[\x00-\x7f]*$")
-    got = L.similarity_of_names(table(spark, d, "mentions").where(ascii_("text")), latest_entities(spark, d).where(ascii_("name")))
-    return got.withColumn("similarity", F.round("similarity", 6))
-
-
-@query(None)
-def trigram_similarity_all(spark, d):
-    """trigram_similarity is its part that DuckDB splits alike."""
-    return L.similarity_of_names(table(spark, d, "mentions"), latest_entities(spark, d)).withColumn("similarity", F.round("similarity", 6))
-
-
-def _query_texts(spark, d):
-    """A stated query set: mentions whose id is divisible by 20."""
-    return table(spark, d, "mentions").where("mention_id % 20 = 0")
-
-
-@query(None)
-def trigram_candidates(spark, d):
-    return L.fuzzy_candidates(_query_texts(spark, d), L.name_forms(latest_entities(spark, d)))
-
-
-@query(None)
-def link_decision(spark, d):
-    """All routes but that of vectors, as the tables hold none of mentions; coherence by document."""
-    m, g = table(spark, d, "mentions"), graph_of(spark, d)
-    v = checkpoint(g.vertices.select("id", "name", "canonical_name", "aliases", "entity_type"))
-    forms = checkpoint(L.name_forms(v))
-    got = L.merge_routes(L.exact_candidates(m, forms), L.direct_candidates(m, v), L.fuzzy_candidates(m, forms), L.fulltext_candidates(m, forms))
-    ranked = checkpoint(L.rerank(got, m, v))
-    group = m.where("document_id != ''").select("mention_id", F.col("document_id").alias("group_id"))
-    return L.decide(L.rerank(L.coherence(ranked, g, group), m, v), m)
-
-
-@query(
-    """SELECT mention_id, round(score, 4) AS score, rank FROM (SELECT mention_id, score, row_number() OVER (ORDER BY score DESC, mention_id) AS rank FROM (SELECT mention_id,
-0.35 * least(1, greatest(0, confidence)) + 0.15 * least(1, greatest(0, coalesce(length(context), 0) / 500.0)) AS score FROM mentions WHERE confidence IS NOT NULL AND NOT isnan(confidence))) WHERE rank <= 50"""
-)
-def score_fusion_rank(spark, d):
-    m = table(spark, d, "mentions").where("confidence IS NOT NULL AND NOT isnan(confidence)")
-    s = m.select("mention_id", (0.35 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")) + 0.15 * F.least(F.lit(1.0), F.coalesce(F.length("context"), F.lit(0)) / 500.0)).alias("score"))
-    top = s.orderBy(F.desc("score"), "mention_id").limit(50)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "mention_id")).cast("long")).withColumn("score", F.round("score", 4))
-
-
-@query(
-    """WITH s AS (SELECT resolved_entity_id AS id, confidence, row_number() OVER (PARTITION BY resolved_entity_id ORDER BY confidence DESC, mention_id) AS n FROM mentions
-WHERE resolved_entity_id IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence)) SELECT a.id, a.confidence AS top, round(a.confidence - coalesce(b.confidence, 0), 6) AS margin FROM s a LEFT JOIN s b ON b.id = a.id AND b.n = 2 WHERE a.n = 1"""
-)
-def margin_to_runner_up(spark, d):
-    m = table(spark, d, "mentions").where("resolved_entity_id IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence)")
-    w = Window.partitionBy("resolved_entity_id").orderBy(F.desc("confidence"), "mention_id")
-    r = m.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy(F.col("resolved_entity_id").alias("id"))
-    r = r.agg(F.max(F.when(F.col("n") == 1, F.col("confidence"))).alias("top"), F.coalesce(F.max(F.when(F.col("n") == 2, F.col("confidence"))), F.lit(0.0)).alias("second"))
-    return r.select("id", "top", F.round(F.col("top") - F.col("second"), 6).alias("margin"))
-
-
-@query(
-    """WITH q AS (SELECT vec_id AS mention_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT mention_id, vec_id AS id, list_dot_product(q.v::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.v::DOUBLE[], q.v::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS c
-FROM q, embeddings e) SELECT mention_id, id, round(c, 6) AS vector FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY c DESC, id) AS n FROM s WHERE c > 0) WHERE n <= 5"""
-)
-def cosine_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    got = L.vector_candidates(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("mention_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), top=5)
-    return got.withColumn("vector", F.round("vector", 6))
-
-
-@query(
-    f"""WITH {ENT}, a AS (SELECT id AS entity_id, al AS alias, confidence, source FROM (SELECT id, unnest(aliases) AS al, confidence, source FROM entities WHERE id IS NOT NULL AND (confidence IS NULL OR NOT isnan(confidence))) WHERE regexp_full_match(al, '[\\x00-\\x7f]*')),
-n AS (SELECT entity_id, trim(regexp_replace(lower(alias), '[^a-z0-9_]+', ' ', 'g')) AS normalized_alias, alias, confidence, source FROM a)
-SELECT entity_id, normalized_alias, min(alias) AS alias, max(confidence) AS confidence, coalesce(bool_or(source = 'manual'), false) AS verified FROM n WHERE normalized_alias <> '' GROUP BY 1, 2"""
-)
-def alias_upsert_merge(spark, d):
-    e = table(spark, d, "entities").where("id IS NOT NULL AND (confidence IS NULL OR NOT isnan(confidence))")
-    new = e.select(F.col("id").alias("entity_id"), F.explode("aliases").alias("alias"), "confidence", F.coalesce(F.col("source") == "manual", F.lit(False)).alias("verified"), F.lit(1).alias("seq")).where(F.col("alias").rlike(r"^[\x00-\x7f]*$"))
-    old = spark.createDataFrame([], "entity_id string, normalized_alias string, alias string, confidence double, verified boolean, seq int")
-    return S.upsert_aliases(old, new).drop("seq")
-
-
-@query(None)
-def alias_upsert_merge_all(spark, d):
-    """alias_upsert_merge is its part that DuckDB normalises alike; a confidence of NaN says nothing."""
-    e = table(spark, d, "entities").where("id IS NOT NULL")
-    new = e.select(F.col("id").alias("entity_id"), F.explode("aliases").alias("alias"), "confidence", F.coalesce(F.col("source") == "manual", F.lit(False)).alias("verified"), F.lit(1).alias("seq"))
-    old = spark.createDataFrame([], "entity_id string, normalized_alias string, alias string, confidence double, verified boolean, seq int")
-    return S.upsert_aliases(old, new).drop("seq")
-
-
 # -- risk -------------------------------------------------------------------------
 _SEV = "CASE lower(severity) WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0.5 END"
 _UNIT = "greatest(0, least(1, CASE WHEN {0} IS NULL OR isnan({0}) THEN 0 ELSE {0} END))"
@@ -597,12 +433,6 @@ def event_windows(spark, d):
     return windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT m.mention_id, m.status, e.name FROM mentions m JOIN (SELECT id, min(name) AS name FROM entities WHERE id IS NOT NULL GROUP BY id) e ON e.id = m.resolved_entity_id WHERE m.status = 'AMBIGUOUS'")
-def review_join(spark, d):
-    e = table(spark, d, "entities").where("id IS NOT NULL").groupBy(F.col("id").alias("resolved_entity_id")).agg(F.min("name").alias("name"))
-    return table(spark, d, "mentions").where("status = 'AMBIGUOUS'").join(e, "resolved_entity_id").select("mention_id", "status", "name")
-
-
 # -- query language ----------------------------------------------------------------
 @query(f"WITH {OUT} SELECT b.id AS id, count(*) AS n FROM ent a JOIN adj r ON r.src = a.id AND r.rel_type IN ('SUPPLIES', 'DEPENDS_ON') JOIN ent b ON b.id = r.dst WHERE a.entity_type = 'organization' GROUP BY 1 ORDER BY n DESC, id LIMIT 50")
 def cypher_top_targets(spark, d):
@@ -630,9 +460,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return got.where(F.col("utc_us").isNotNull()).select("result_id", "utc_us")
 
 
+def _all() -> None:
+    """The modules that register further queries."""
+    from . import catalog_flow, catalog_linking  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -117,5 +117,5 @@ def bar(score: Column) -> Column:
 def fuse(exact: Column, fulltext: Column, vector: Column, fuzzy: Column, type_: Column, coherence: Column) -> Column:
     """Weighted sum of the clamped signals; at least 0.97 for an exact name of the right type."""
     e, f, v, z, t, c = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0)))) for x in (exact, fulltext, vector, fuzzy, type_, coherence))
-    score = F.round(0.35 * e + 0.15 * f + 0.20 * v + 0.15 * z + 0.10 * t + 0.05 * c, 4)
+    score = F.round(F.round(0.35 * e + 0.15 * f + 0.20 * v + 0.15 * z + 0.10 * t + 0.05 * c, 8), 4)  # halves are halves whatever the order of the sum
     return F.when((exact >= 1) & (type_ > 0), F.greatest(score, F.lit(0.97))).otherwise(score)

@@ -86,6 +86,12 @@ def review_queue(decisions: DataFrame, ranked: DataFrame, keep: int = 10) -> Dat
     return decisions.where("status IN ('AMBIGUOUS', 'NIL')").select("mention_id").join(c, "mention_id", "left").withColumn("status", F.lit("pending"))
 
 
+def pending_reviews(reviews: DataFrame, mentions: DataFrame, status: str = "pending") -> DataFrame:
+    """reviews of the status with the columns of their mentions; a review of a mention that is not there has none."""
+    own = mentions.drop(*[c for c in reviews.columns if c != "mention_id"])
+    return reviews.where(F.col("status") == status).join(own, "mention_id", "inner")
+
+
 def start_run(runs: DataFrame, run: DataFrame) -> DataFrame:
     """runs with the run unless its run_id is there."""
     return runs.unionByName(run.join(runs.select("run_id"), "run_id", "left_anti"), allowMissingColumns=True)

@@ -6,13 +6,14 @@ names and on shared trigrams, never as all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine, fuse, normalize_surface, trigram_similarity, trigrams
 from ..session import BROADCAST_LIMIT, checkpoint, estimated_bytes, spread
 from .graph import Graph, bfs
+from .skew import skewed_join
 
 SIGNALS = ("exact", "fulltext", "vector", "fuzzy", "type", "coherence")
 LEAST_FUZZY = 0.15
@@ -47,13 +48,16 @@ def direct_candidates(mentions: DataFrame, vertices: DataFrame) -> DataFrame:
 def fuzzy_candidates(mentions: DataFrame, forms: DataFrame, least: float = LEAST_FUZZY, top: int = 20) -> DataFrame:
     """The `top` entities of most similar trigrams of each distinct text, over entities that share a trigram.
 
-    A form that shares none has similarity 0, so the blocking loses nothing. Trigrams are joined texts against
-    forms; texts are distinct, so a name mentioned by a third of all rows is one text."""
+    A form that shares none has similarity 0, and one of fewer than `least` times as many trigrams, or more than that many
+    times fewer, can't reach `least`, so neither is looked at and nothing is lost. Texts are distinct, so a name mentioned
+    by a third of all rows is one text; trigrams that many texts hold are split."""
     m = mentions.select("mention_id", normalize_surface(F.col("text")).alias("t")).where("t != ''")
-    texts, own = m.select("t").distinct(), forms.select("form").distinct()
+    texts = checkpoint(m.select("t").distinct())
+    own = forms.select("form").distinct()
     left = texts.select("t", F.size(trigrams(F.col("t"))).alias("n"), F.explode(trigrams(F.col("t"))).alias("g"))
     right = own.select("form", F.size(trigrams(F.col("form"))).alias("k"), F.explode(trigrams(F.col("form"))).alias("g"))
-    shared = left.join(right, "g").groupBy("t", "form", "n", "k").agg(F.count("*").alias("c"))
+    met = skewed_join(left, right, "g", 16 * texts.count()).where((F.least("n", "k") >= least * F.greatest("n", "k")))
+    shared = met.groupBy("t", "form", "n", "k").agg(F.count("*").alias("c"))
     sims = shared.withColumn("fuzzy", F.col("c") / (F.col("n") + F.col("k") - F.col("c"))).where(F.col("fuzzy") >= least)
     best = sims.join(forms, "form").groupBy("t", "id").agg(F.max("fuzzy").alias("fuzzy"))
     w = Window.partitionBy("t").orderBy(F.desc("fuzzy"), "id")
@@ -61,20 +65,51 @@ def fuzzy_candidates(mentions: DataFrame, forms: DataFrame, least: float = LEAST
     return m.join(best, "t").select("mention_id", "id", F.when(F.col("fuzzy") == 1, 1.0).otherwise(0.0).alias("exact"), "fuzzy")
 
 
-def fulltext_candidates(mentions: DataFrame, forms: DataFrame, top: int = 20) -> DataFrame:
-    """(mention_id, id, fulltext): the `top` entities of most overlap with each distinct text, shared over all distinct words."""
+STOP_SHARE = 0.1  # a word that more of the entities hold finds none by itself
+K1, B = 1.2, 0.75  # fixed values: the usual saturation and length weight of BM25
+
+
+def fulltext_candidates(mentions: DataFrame, vertices: DataFrame, top: int = 20, stop_share: float = STOP_SHARE) -> DataFrame:
+    """(mention_id, id, fulltext): the `top` entities of greatest BM25 score of each distinct text, to six digits; ties to the smaller id.
+
+    An entity's text is its name, canonical name, aliases and description. Words that more than `stop_share` of all entities
+    hold add to the score of what other words of the text find, but find nothing themselves."""
     m = mentions.select("mention_id", normalize_surface(F.col("text")).alias("t")).where("t != ''")
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    left = m.select("t").distinct().select("t", F.size(words("t")).alias("n"), F.explode(words("t")).alias("w"))
-    right = forms.select("form").distinct().select("form", F.size(words("form")).alias("k"), F.explode(words("form")).alias("w"))
-    shared = left.join(right, "w").groupBy("t", "form", "n", "k").agg(F.count("*").alias("c"))
-    sims = shared.select("t", "form", (F.col("c") / (F.col("n") + F.col("k") - F.col("c"))).alias("fulltext"))
-    best = sims.join(forms, "form").groupBy("t", "id").agg(F.max("fulltext").alias("fulltext"))
+    parts = F.concat(F.array("name", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")), F.array("description"))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    docs = vertices.select("id", words(normalize_surface(F.array_join(parts, " "))).alias("ws"))
+    one = docs.agg(F.count("*").alias("many"), F.avg(F.size("ws")).alias("mean")).head()  # one row
+    many, mean = one["many"], one["mean"] or 1.0
+    held = checkpoint(docs.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("w")).groupBy("id", "dl", "w").agg(F.count("*").alias("tf")))
+    df = held.groupBy("w").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (many - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    posts = held.join(df, "w").select("w", "id", weight.alias("s"), (F.col("df") > stop_share * many).alias("stop"))
+    texts = checkpoint(m.select("t").distinct())
+    asked = texts.select("t", F.explode(F.array_distinct(words("t"))).alias("w"))
+    met = skewed_join(asked, posts, "w", 4 * texts.count())
+    found = met.where("NOT stop").select("t", "id").distinct()
+    both = met.where("NOT stop").select("t", "id", "s").unionByName(met.where("stop").join(found, ["t", "id"], "left_semi").select("t", "id", "s"))
+    best = both.groupBy("t", "id").agg(F.round(F.sum("s"), 6).alias("fulltext"))
     w = Window.partitionBy("t").orderBy(F.desc("fulltext"), "id")
     best = best.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).drop("__n")
     return m.join(best, "t").select("mention_id", "id", "fulltext")
 
 
+def escape_query(text: Column) -> Column:
+    """A full-text query whose words mean only themselves: operators are escaped, runs of white space one blank; blank texts give \"\"."""
+    tidy = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r'([+\-!(){}\[\]^"~*?:\\/]|&&|\|\|)', r"\\$1")
+    return F.when(F.trim(tidy) == "", '""').otherwise(F.trim(tidy))
+
+
+def graph_candidates(fulltext: DataFrame, vector: DataFrame, top: int = 20) -> DataFrame:
+    """(mention_id, id, fulltext, vector): of both routes the `top` of greatest better signal a mention; ties to the smaller id."""
+    both = fulltext.unionByName(vector, allowMissingColumns=True).groupBy("mention_id", "id")
+    got = both.agg(F.coalesce(F.max("fulltext"), F.lit(0.0)).alias("fulltext"), F.coalesce(F.max("vector"), F.lit(0.0)).alias("vector"))
+    w = Window.partitionBy("mention_id").orderBy(F.greatest("fulltext", "vector").desc(), "id")
+    return got.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).drop("__n")
+
+
 def vector_candidates(queries: DataFrame, embeddings: DataFrame, top: int = 20) -> DataFrame:
     """(mention_id, id, vector): entities of positive cosine with each query vector; queries (mention_id, v) are a stated set.
 
@@ -86,7 +121,7 @@ def vector_candidates(queries: DataFrame, embeddings: DataFrame, top: int = 20)
         q = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
         e = e.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"))
         j = q.join(e, (q["b"] == e["b"]) & (F.size("v") == F.size("e")))
-    s = j.select("mention_id", "id", cosine(F.col("v"), F.col("e")).alias("vector")).where("vector > 0")
+    s = j.select("mention_id", "id", cosine(F.col("v"), F.col("e")).alias("vector")).where("vector > 0 AND NOT isnan(vector)")
     w = Window.partitionBy("mention_id").orderBy(F.desc("vector"), "id")
     return s.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).drop("__n")
 
@@ -103,29 +138,41 @@ def merge_routes(*routes: DataFrame) -> DataFrame:
 
 
 def rerank(candidates: DataFrame, mentions: DataFrame, vertices: DataFrame) -> DataFrame:
-    """candidates with type, score and rank (ties to the smaller id); coherence counts if it is there."""
+    """candidates with type (1 also if none is expected), score and rank (ties to the smaller id); coherence counts if it is there."""
     c = candidates if "coherence" in candidates.columns else candidates.withColumn("coherence", F.lit(0.0))
     c = c.drop("type", "score", "rank")
     types = mentions.select("mention_id", F.coalesce("expected_types", F.array().cast("array<string>")).alias("__types"))
     j = c.join(types, "mention_id").join(vertices.select("id", F.col("entity_type").alias("__own")), "id")
-    j = j.withColumn("type", F.when(F.array_contains("__types", F.col("__own")), 1.0).otherwise(0.0)).drop("__types", "__own")
+    j = j.withColumn("type", F.when((F.size("__types") == 0) | F.array_contains("__types", F.col("__own")), 1.0).otherwise(0.0)).drop("__types", "__own")
     j = j.withColumn("score", fuse(*[F.col(s) for s in SIGNALS]))
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), "id")))
 
 
-def coherence(ranked: DataFrame, g: Graph, group: DataFrame, top: int = 5, hops: int = 3) -> DataFrame:
+def coherence(ranked: DataFrame, g: Graph, group: DataFrame, top: int = 5) -> DataFrame:
     """ranked with coherence: of the best entities of the other mentions of a group, how many are linked to the candidate.
 
-    group: (mention_id, group_id), such as the document. Every edge counts, else one for a way of up to `hops`; two make 1."""
-    best = checkpoint(ranked.where(F.col("rank") <= top).join(group, "mention_id").select("group_id", "mention_id", "id"))
-    pairs = best.alias("l").join(best.alias("r"), F.expr("l.group_id = r.group_id AND l.mention_id != r.mention_id")).select(
-        F.col("l.mention_id").alias("mention_id"), F.col("l.id").alias("id"), F.col("r.id").alias("other")
-    ).distinct()
+    group: (mention_id, group_id), such as the document, one a mention. Every edge counts, else one for a way of two or
+    three; two make 1. A group is its distinct entities, so mentions never meet each other; ways are met in the middle."""
+    best = checkpoint(ranked.where(F.col("rank") <= top).join(group.where("group_id IS NOT NULL"), "mention_id").select("group_id", "mention_id", "id"))
+    held = checkpoint(best.groupBy("group_id", "id").agg(F.count("*").alias("n"), F.min("mention_id").alias("only")))
+    others = held.select("group_id", F.col("id").alias("other"))
     adj = checkpoint(g.adjacency("both"))
-    edges = adj.groupBy(F.col("src").alias("id"), F.col("dst").alias("other")).agg(F.count("*").alias("links"))
-    reach = bfs(adj, best.select("id").distinct(), hops).select(F.col("root").alias("id"), F.col("node").alias("other"), F.lit(1).alias("near"))
-    n = pairs.join(edges, ["id", "other"], "left").join(reach, ["id", "other"], "left")
-    got = n.groupBy("mention_id", "id").agg(F.least(F.lit(1.0), F.sum(F.coalesce("links", "near", F.lit(0))) / 2).alias("coherence"))
+    edges = adj.groupBy(F.col("src").alias("id"), F.col("dst").alias("other")).agg(F.count("*").alias("w"))
+    direct = held.select("group_id", "id").join(edges, "id").join(others, ["group_id", "other"], "left_semi").select("group_id", "id", "other", "w")
+    # two edges from the candidate meet none or one from the other
+    ball = bfs(adj, held.select("id").distinct(), 2).select(F.col("root").alias("id"), F.col("node").alias("x"))
+    near = others.select("group_id", "other", F.col("other").alias("x")).unionByName(
+        others.join(adj.select(F.col("src").alias("other"), F.col("dst").alias("x")).distinct(), "other").select("group_id", "other", "x")
+    )
+    ways = held.select("group_id", "id").join(ball, "id").join(near, ["group_id", "x"]).select("group_id", "id", "other").distinct()
+    ways = ways.join(direct.select("group_id", "id", "other"), ["group_id", "id", "other"], "left_anti").withColumn("w", F.lit(1).cast("long"))
+    links = checkpoint(direct.unionByName(ways))
+    every = links.groupBy("group_id", "id").agg(F.sum("w").alias("w"))
+    # what only the mention itself has among its best is none of the others
+    mine = held.where("n = 1").select("group_id", F.col("id").alias("other"), F.col("only").alias("mention_id"))
+    mine = links.join(mine, ["group_id", "other"]).groupBy("group_id", "id", "mention_id").agg(F.sum("w").alias("own"))
+    got = best.join(every, ["group_id", "id"]).join(mine, ["group_id", "id", "mention_id"], "left")
+    got = got.groupBy("mention_id", "id").agg(F.least(F.lit(1.0), F.sum(F.col("w") - F.coalesce("own", F.lit(0))) / 2).alias("coherence"))
     return ranked.drop("coherence").join(got, ["mention_id", "id"], "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0)))
 
 
