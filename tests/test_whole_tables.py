@@ -78,7 +78,7 @@ def test_trigram_candidates_of_every_script(spark, data, rows, forms):
                 for i in ids:
                     best[i] = max(x, best.get(i, 0))
         want = dict(sorted(best.items(), key=lambda kv: (-kv[1], kv[0]))[:20])
-        assert got.get(m["mention_id"], {}) == pytest.approx(want)
+        assert got.get(m["mention_id"], {}) == pytest.approx(want, abs=1e-6)
         foreign += bool(want) and not m["text"].isascii()
     assert foreign
 
