@@ -1,12 +1,15 @@
 """A versioned store of Parquet tables: upserts, deletes with cascade, appends, and the outbox of changes.
 
-A write makes the next version of a table in a folder of its own and then moves the pointer file, so no
-path is overwritten while it is read and a lost executor only repeats tasks. Writers are one at a time.
+A commit is one small file that names the data folders of every table, bucket by bucket. It is written beside its final
+name and then renamed to the next number, so readers see a commit whole or not at all, and a crash at any moment leaves
+the last one. An append adds folders and rewrites nothing; a merge rewrites the buckets of the keys it touches. One commit
+may change several tables, as a write and its outbox rows do. Writers are one at a time; a second one fails at the rename.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,56 +19,131 @@ from pyspark.sql.window import Window
 
 from ..functions.text import normalize_surface
 
+BUCKETS = 64  # parts of a keyed table; a merge rewrites those that hold its keys
+
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # -- versions -----------------------------------------------------------
-    def _pointer(self, name: str):
-        return self._path(f"{self.root}/{name}/CURRENT")
+    # -- commits --------------------------------------------------------------
+    def _commits(self) -> str:
+        return f"{self.root}/_commits"
 
-    def version(self, name: str) -> int:
-        """The number of the current version; 0 if the table is not there."""
-        p = self._pointer(name)
+    def last(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        p = self._path(self._commits())
         if not self._fs.exists(p):
             return 0
-        stream = self._fs.open(p)
+        names = [f.getPath().getName() for f in self._fs.listStatus(p)]
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def _state(self, number: int | None = None) -> dict:
+        n = self.last() if number is None else number
+        if not n:
+            return {}
+        stream = self._fs.open(self._path(f"{self._commits()}/{n:012d}.json"))
         try:
-            return int(json.loads(bytes(stream.readAllBytes()).decode())["version"])
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
-        v = self.version(name)
-        if v == 0:
-            if schema is None:
-                raise LookupError(f"no table {name}")
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{v}")
-
-    def write(self, name: str, df: DataFrame) -> int:
-        v = self.version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
-        tmp = self._path(f"{self.root}/{name}/CURRENT.{v}")
+    def commit(self, changed: dict[str, dict], base: int) -> int:
+        """Publish the new states of some tables over commit `base`; raises if another writer was faster."""
+        state = {**self._state(base), **changed}
+        tmp = self._path(f"{self._commits()}/_{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(self._pointer(name), False)
-        self._fs.rename(tmp, self._pointer(name))
-        return v
+        final = self._path(f"{self._commits()}/{base + 1:012d}.json")
+        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+            self._fs.delete(tmp, False)
+            raise RuntimeError(f"commit {base + 1} was made by another writer")
+        return base + 1
 
-    def append(self, name: str, rows: DataFrame, serial: str | None = None, order: list[str] | None = None) -> int:
+    # -- tables ---------------------------------------------------------------
+    def version(self, name: str) -> int:
+        """How often the table was changed; 0 if it is not there."""
+        return self._state().get(name, {}).get("version", 0)
+
+    def read(self, name: str, schema: T.StructType | None = None, at: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The table as of the last commit, or of commit `at`; only some buckets of it if asked."""
+        t = self._state(at).get(name)
+        if t is None:
+            if schema is None:
+                raise LookupError(f"no table {name}")
+            return self.spark.createDataFrame([], schema)
+        kept = [b for b in t["parts"] if buckets is None or int(b) in buckets]
+        paths = [f"{self.root}/{name}/{folder}/__b={b}" for b in kept for folder in t["parts"][b]]
+        own = T.StructType.fromJson(t["schema"])
+        return self.spark.read.schema(own).parquet(*paths) if paths else self.spark.createDataFrame([], own)
+
+    def _bucket(self, key: str | None):
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(self.buckets)).cast("int") if key else F.lit(0)
+
+    def _land(self, name: str, df: DataFrame, key: str | None) -> tuple[str, list[str]]:
+        """A new folder with the rows by bucket, and its buckets."""
+        folder = f"d{uuid.uuid4().hex}"
+        df.withColumn("__b", self._bucket(key)).write.partitionBy("__b").parquet(f"{self.root}/{name}/{folder}")
+        dirs = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{name}/{folder}"))]
+        return folder, [d[4:] for d in dirs if d.startswith("__b=")]
+
+    def staged(self, name: str, df: DataFrame, key: str | None = None, how: str = "write", fold: Callable[[DataFrame, DataFrame], DataFrame] | None = None, base: int | None = None) -> dict:
+        """The state of a table after a change that is landed but not committed. how: write, append or merge (fold(old, new))."""
+        old = self._state(base).get(name)
+        parts = {b: list(f) for b, f in old["parts"].items()} if old else {}
+        key = key or (old or {}).get("key")
+        schema = df.schema
+        if how == "write" or old is None and how == "append":
+            folder, mine = self._land(name, df, key)
+            parts = {b: [folder] for b in mine}
+        elif how == "append":
+            schema = T.StructType.fromJson(old["schema"])
+            given = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+            folder, mine = self._land(name, df.select(*given, *[c for c in df.columns if c not in schema.names]), key)
+            schema = T.StructType([*schema, *[f for f in df.schema if f.name not in schema.names]])
+            for b in mine:
+                parts.setdefault(b, []).append(folder)
+        else:
+            touched = [r[0] for r in df.select(self._bucket(key).alias("b")).distinct().collect()]  # at most `buckets`
+            held = self.read(name, fold(df.limit(0), df.limit(0)).schema if old is None else None, base, touched)
+            merged = fold(held, df)
+            folder, mine = self._land(name, merged, key)
+            schema = merged.schema
+            for b in touched:
+                parts.pop(str(b), None)
+            parts.update({b: [folder] for b in mine})
+        plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+        return {"version": (old or {}).get("version", 0) + 1, "schema": plain.jsonValue(), "key": key, "parts": parts}
+
+    def write(self, name: str, df: DataFrame, key: str | None = None) -> int:
+        base = self.last()
+        state = self.staged(name, df, key, base=base)
+        self.commit({name: state}, base)
+        return state["version"]
+
+    def append(self, name: str, rows: DataFrame, serial: str | None = None, order: list[str] | None = None, key: str | None = None) -> int:
         """Rows after those there are. serial: a column numbered on from its greatest, in the given order."""
+        base = self.last()
         if serial:
             at = (self.read(name).agg(F.max(serial)).head()[0] or 0) if self.version(name) else 0
             rows = number_rows(rows, serial, at, order or rows.columns)
-        if self.version(name) == 0:
-            return self.write(name, rows)
-        return self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        state = self.staged(name, rows, key, "append", base=base)
+        self.commit({name: state}, base)
+        return state["version"]
+
+    def merge(self, name: str, rows: DataFrame, fold: Callable[[DataFrame, DataFrame], DataFrame], key: str) -> int:
+        """fold(old, rows) over the buckets that hold keys of rows; the others stay as they are."""
+        base = self.last()
+        state = self.staged(name, rows, key, "merge", fold, base)
+        self.commit({name: state}, base)
+        return state["version"]
+
+    def compact(self, name: str) -> int:
+        """The same rows in one folder a bucket, after many appends."""
+        return self.write(name, self.read(name), self._state()[name]["key"])
 
 
 def number_rows(rows: DataFrame, serial: str, start: int, order: list[str]) -> DataFrame:

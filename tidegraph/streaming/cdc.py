@@ -46,13 +46,18 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: str = "entity_key",
 def project_stream(spark: SparkSession, source: DataFrame, store: Store, table: str, checkpoint_dir: str, key: str = "entity_key", order: str = "id"):
     """Runs all that the streaming source holds into the table of the store and returns the ended query.
 
-    Each micro-batch is one store version; a repeated batch changes nothing. Use again to go on from the checkpoint."""
+    Each micro-batch is one commit that rewrites the buckets of its keys; a repeated batch changes nothing. Use again to go on from the checkpoint."""
     kinds = {f.name: f.dataType for f in source.schema.fields}
     empty = T.StructType([T.StructField(key, kinds[key]), T.StructField("payload", T.StringType()), T.StructField(order, kinds[order])])
 
     def step(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.write(table, apply_changes(store.read(table, empty), batch, key, order))
+            fold = lambda old, new: apply_changes(old, new, key, order)
+            changes = batch.where(F.col(key).isNotNull())
+            if store.version(table) == 0:
+                store.write(table, fold(store.read(table, empty), changes), key)
+            else:
+                store.merge(table, changes, fold, key)
 
     q = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     q.awaitTermination()
