@@ -139,12 +139,72 @@ def shortest_paths(g: Graph, roots: DataFrame, max_hops: int = 5, rel_types: tup
 
 
 def find_path(g: Graph, source: str, target: str, max_hops: int = 5) -> list[str] | None:
-    """The ids of one shortest path; [source] if both are the same, None if there is none."""
+    """The ids of one shortest path; [source] if both are the same, None if there is none.
+
+    Both ends are searched by turns and the search stops where they meet, so neither looks at a whole ball."""
     if source == target:
         return [source]
     spark = g.vertices.sparkSession
-    got = shortest_paths(g, spark.createDataFrame([(source,)], "id string"), max_hops).where(F.col("node") == target).select("path").head()
-    return list(got[0]) if got else None
+    adj = checkpoint(g.adjacency("both").select("src", "dst").where("src != dst").distinct())
+    sides = [checkpoint(spark.createDataFrame([(x, None, 0)], "node string, parent string, hops int")) for x in (source, target)]
+    fronts = list(sides)
+    for k in range(max_hops):
+        i = k % 2
+        new = fronts[i].select(F.col("node").alias("src")).join(adj, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        depth = k // 2 + 1
+        fronts[i] = checkpoint(new.join(sides[i].select("node"), "node", "left_anti").withColumn("hops", F.lit(depth)))
+        sides[i] = sides[i].unionByName(fronts[i])
+        met = fronts[i].select("node").join(sides[1 - i].select("node"), "node").orderBy("node").head()
+        if met:
+            return _walk(sides[0], met[0])[::-1] + _walk(sides[1], met[0])[1:]
+        if fronts[i].isEmpty():
+            return None
+    return None
+
+
+def _walk(side: DataFrame, at: str) -> list[str]:
+    """From a node back to the start of its side; a row at a time, as many as the path has edges."""
+    path = [at]
+    while (row := side.where((F.col("node") == path[-1]) & F.col("parent").isNotNull()).select("parent").head()) is not None:
+        path.append(row[0])
+    return path
+
+
+def inspect(g: Graph, ids: DataFrame, most: int = 30) -> DataFrame:
+    """(root, position, id, name, entity_type, rel_type): the first `most` neighbours of each vertex, by type of edge, id and edge."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("root").orderBy("rel_type", "id", "rel_id")
+    near = neighbours(g, ids).withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
+    return near.select("root", "position", "id", "name", "entity_type", "rel_type")
+
+
+def extracted_paths(paths: DataFrame, most: int = 20) -> DataFrame:
+    """(source, source_name, target, target_name, hops) of the first `most` named paths: the nearest, then by their ends."""
+    p = paths.where(F.size("named") > 0).withColumn("__f", F.element_at("named", 1)).withColumn("__l", F.element_at("named", -1))
+    out = p.select(F.col("__f.id").alias("source"), F.col("__f.name").alias("source_name"), F.col("__l.id").alias("target"), F.col("__l.name").alias("target_name"), F.greatest(F.lit(0), F.size("named") - 1).alias("hops"))
+    return out.orderBy("hops", "source", "target").limit(most)
+
+
+def exposure_of(g: Graph, ids: DataFrame, threat_type: str = "threat", hops: int = EXPOSURE_HOPS) -> DataFrame:
+    """(id, hops, exposure_score) of a few vertices, outward from them; the search of one ends at its nearest threat."""
+    adj = checkpoint(g.adjacency("both").select("src", "dst").where("src != dst").distinct())
+    threats = g.vertices.where(F.col("entity_type") == threat_type).select(F.col("id").alias("node"))
+    front = checkpoint(ids.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct())
+    seen, found = front, None
+    for k in range(hops + 1):
+        hit = checkpoint(front.join(threats, "node", "left_semi").select("root").distinct().withColumn("hops", F.lit(k)))
+        found = hit if found is None else found.unionByName(hit)
+        front = front.join(hit, "root", "left_anti")
+        if k == hops:
+            break
+        new = front.select("root", F.col("node").alias("src")).join(adj, "src").select("root", F.col("dst").alias("node")).distinct()
+        front = checkpoint(new.join(seen, ["root", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    got = ids.select("id").distinct().join(found.withColumnRenamed("root", "id"), "id", "left")
+    return got.withColumn("exposure_score", exposure_from_hops(F.col("hops")))
 
 
 def dependency_chains(g: Graph, roots: DataFrame, rel_types: tuple[str, ...] = DEPENDENCY_TYPES, max_depth: int = 5) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+from ..session import BROADCAST_LIMIT, checkpoint
+
 
 def by_id(rows: DataFrame, value: str) -> DataFrame:
     return rows.where(F.col("id") == value)
@@ -72,21 +75,22 @@ def gazetteer(vertices: DataFrame) -> DataFrame:
     return vertices.select(F.explode(forms).alias("pattern"), "id", "entity_type").where(F.length("pattern") >= 3)
 
 
-def mentions_in(docs: DataFrame, text: str, key: str, patterns: DataFrame, most: int = 12) -> DataFrame:
+def mentions_in(docs: DataFrame, text: str, key: str, patterns: DataFrame) -> DataFrame:
     """(key, id): entities of which a pattern stands in the text at word borders, by an equi join on word runs.
 
-    Every run of up to `most` words of a text is hashed once and joined with the patterns' own words, so
-    neither side is broadcast and no text meets all patterns. Patterns without words match nothing."""
+    Texts are cut into words once; every run of as many words as some pattern has is looked up. Patterns of a checked
+    size are broadcast, so that no run is shuffled; more of them meet the runs in a shuffle. Patterns without words match
+    nothing."""
     ws = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pat = patterns.select(F.concat_ws(" ", ws(F.col("pattern"))).alias("p"), "id").where("p != ''").withColumn("n", F.size(F.split("p", " "))).where(F.col("n") <= most)
-    pat = pat.select(F.xxhash64("p").alias("h"), "p", "id").distinct()
-    lengths = [r[0] for r in patterns.select(F.size(ws(F.col("pattern"))).alias("n")).where(F.col("n").between(1, most)).distinct().collect()]
-    parts = docs.select(F.col(key), ws(F.col(text)).alias("w"))
-    runs = None
-    for n in sorted(lengths):
-        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
-        one = parts.where(F.size("w") >= n).select(key, F.explode(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(n))))).alias("p"))
-        runs = one if runs is None else runs.unionByName(one)
-    if runs is None:
+    pat = checkpoint(patterns.select(F.array_join(ws(F.col("pattern")), " ").alias("p"), "id").where("p != ''").distinct())
+    sizes = pat.groupBy(F.size(F.split("p", " ")).alias("n")).agg(F.sum(F.length("p") + F.length("id") + 32).alias("bytes")).collect()  # a row a length
+    if not sizes:
         return docs.select(key, F.lit(None).cast("string").alias("id")).where("false")
-    return runs.select(key, "p", F.xxhash64("p").alias("h")).join(pat, ["h", "p"]).select(key, "id").distinct()
+    own = F.broadcast(pat) if sum(r["bytes"] for r in sizes) <= BROADCAST_LIMIT else pat
+    lengths = F.array(*[F.lit(r["n"]) for r in sorted(sizes)])
+    run = lambda n: F.transform(
+        F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " ")
+    )
+    parts = let(docs.select(F.col(key), F.col(text).alias("__t")), {"w": ws(F.col("__t"))}).drop("__t")
+    runs = parts.select(key, F.explode(F.array_distinct(F.flatten(F.transform(lengths, run)))).alias("p"))
+    return runs.join(own, "p").select(key, "id").distinct()

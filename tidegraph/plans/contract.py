@@ -35,6 +35,20 @@ class Contract:
     exposure_types: tuple[str, ...] = ("organization",)
     linking: dict[str, float] = field(default_factory=dict)
 
+    def descriptor(self) -> dict:
+        """What a planner of queries is told."""
+        return {
+            "node_label": "Entity", "entity_types": sorted(self.attributes), "relationship_types": sorted(self.relationship_types),
+            "rules": ["ids of entities are in the property id", "values are given as parameters", "paths have at most 6 edges", "every query ends with a LIMIT"],
+        }
+
+    def describe(self) -> str:
+        """The types and attributes as text for a model."""
+        lines = ["Entity types"]
+        for t, attributes in self.attributes.items():
+            lines.append(f"- {t}" + (": " + ", ".join(f"{a.name}:{a.kind}" + (f" of {'|'.join(a.enum)}" if a.enum else "") for a in attributes) if attributes else ""))
+        return "\n".join([*lines, "Relationship types", ", ".join(sorted(self.relationship_types)), f"Dependencies: {', '.join(self.dependency_types)}", f"Threats: {self.threat_type}; exposed: {', '.join(self.exposure_types)}"])
+
     def is_entity_type(self, c: Column) -> Column:
         return F.lower(F.trim(c)).isin(*self.attributes)
 
