@@ -9,7 +9,7 @@ import pytest
 
 from tidegraph import catalog
 
-SLOW = {"shortest_path_trees", "risk_assessment", "exposure_by_type"}
+SLOW = {"exposure_by_type"}
 
 
 def plain(v):

@@ -286,12 +286,6 @@ def gazetteer_patterns(spark, d):
     return U.gazetteer(latest_entities(spark, d))
 
 
-@query(None)
-def gazetteer_doc_hits(spark, d):
-    pat = U.gazetteer(latest_entities(spark, d).select("id", "name", "canonical_name", "aliases", "entity_type"))
-    return U.mentions_in(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", pat)
-
-
 # -- documents ----------------------------------------------------------------
 @query("SELECT url, min(result_id) AS result_id FROM search_results WHERE url IS NOT NULL GROUP BY url UNION ALL SELECT url, result_id FROM search_results WHERE url IS NULL")
 def url_dedupe_first(spark, d):
@@ -385,13 +379,6 @@ def risk_band(spark, d):
     return e.groupBy(X.risk_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(None)
-def risk_assessment(spark, d):
-    g = graph_of(spark, d)
-    a = R.assess(G.exposure_report(g), g.edges.where("rel_type = 'THREATENS'"), R.risk_matrix(_threats(spark, d)))
-    return R.indicators(a, sources=4)
-
-
 # -- store and change stream --------------------------------------------------------
 @query(f"WITH {EDG}, gone AS (SELECT id FROM ent WHERE entity_type = 'threat') SELECT id FROM rel WHERE (source_id IS NULL OR source_id NOT IN (SELECT id FROM gone)) AND (target_id IS NULL OR target_id NOT IN (SELECT id FROM gone))")
 def cascade_delete(spark, d):

@@ -119,3 +119,13 @@ def fuse(exact: Column, fulltext: Column, vector: Column, fuzzy: Column, type_:
     e, f, v, z, t, c = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0)))) for x in (exact, fulltext, vector, fuzzy, type_, coherence))
     score = F.round(F.round(0.35 * e + 0.15 * f + 0.20 * v + 0.15 * z + 0.10 * t + 0.05 * c, 8), 4)  # halves are halves whatever the order of the sum
     return F.when((exact >= 1) & (type_ > 0), F.greatest(score, F.lit(0.97))).otherwise(score)
+
+
+def truncated(text: Column, most: int) -> Column:
+    """At most that many characters from the start."""
+    return F.substring(text, 1, most)
+
+
+def numbered(items: Column) -> Column:
+    """array<string>: each item after its number."""
+    return F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))

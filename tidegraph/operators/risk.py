@@ -62,11 +62,11 @@ def assertion_score(assertions: DataFrame) -> DataFrame:
 
 def blend(exposure: Column, assertion: Column) -> Column:
     """0.6 and 0.4 of both, else the one there is, to two digits."""
-    return F.round(F.coalesce(0.6 * exposure + 0.4 * assertion, exposure, assertion), 2)
+    return F.round(F.round(F.coalesce(0.6 * exposure + 0.4 * assertion, exposure, assertion), 8), 2)
 
 
 def evidence_confidence(mean_confidence: Column, n: Column) -> Column:
-    return F.round((mean_confidence + F.least(F.lit(1.0), 0.5 + 0.05 * F.least(n, F.lit(10)))) / 2, 4)
+    return F.round(F.round((mean_confidence + F.least(F.lit(1.0), 0.5 + 0.05 * F.least(n, F.lit(10)))) / 2, 8), 4)
 
 
 def assess(exposures: DataFrame, assertions: DataFrame, prior: DataFrame) -> DataFrame:

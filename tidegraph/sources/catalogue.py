@@ -28,11 +28,16 @@ def hashed_vector(text: Column) -> Column:
 
     Each word adds the digits of its MD5, 0 to 15 less 7.5; the sum has length 1. A text without words gives []."""
     ws = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    digit = lambda w, i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(w), i, F.lit(1))) - 8.5
-    sums = F.transform(F.sequence(F.lit(1), F.lit(DIMENSIONS)), lambda i: F.aggregate(ws, F.lit(0.0), lambda s, w: s + digit(w, i)))
+    digits = lambda w: F.transform(F.split(F.md5(w), ""), lambda c: F.instr(F.lit("0123456789abcdef"), c) - 8.5)
+    sums = F.aggregate(ws, F.array_repeat(F.lit(0.0), DIMENSIONS), lambda s, w: F.zip_with(s, digits(w), lambda x, y: x + y))
     return F.when(F.size(ws) > 0, _normal(sums)).otherwise(F.array().cast("array<double>"))
 
 
 def _normal(v: Column) -> Column:
+    """v of length 1; a sum of nothing stays."""
+    return F.aggregate(F.array(v), F.array().cast("array<double>"), lambda _, x: _scaled(x))
+
+
+def _scaled(v: Column) -> Column:
     n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return F.aggregate(F.array(n), F.array().cast("array<double>"), lambda _, m: F.transform(v, lambda x: F.when(m > 0, x / m).otherwise(x)))
