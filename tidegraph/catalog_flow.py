@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -449,3 +450,124 @@ def margin_to_runner_up(spark, d):
     ranked = e.select(F.col("source").alias("mention_id"), "id", F.col("confidence").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), "id")))
     got = decide(ranked, ranked.select("mention_id", F.lit(0.5).alias("confidence")).distinct())
     return got.select(F.nullif("mention_id", F.lit("\x00")).alias("source"), F.col("score").alias("top"), "margin")
+
+
+# -- snapshots, seed, query language, workflow -------------------------------------------------------
+@query(f"WITH {EDG} SELECT 'entities ' || entity_type AS kind, count(*) AS n FROM ent GROUP BY 1 UNION ALL SELECT 'relationships', count(*) FROM rel UNION ALL SELECT 'upserted', count(*) FROM ent")
+def snapshot_round_trip(spark, d):
+    """The graph written as a snapshot into the shared folder, read from it, and upserted into a store."""
+    import uuid
+
+    from .session import shared_dir
+    from .sources.tables import export_snapshot, import_snapshot, restore_snapshot
+
+    g = graph_of(spark, d)
+    at = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    export_snapshot(g, at)
+    back = import_snapshot(spark, at, g.vertices.schema, g.edges.schema)
+    store = S.Store(spark, f"{at}/store")
+    for _ in range(2):
+        restore_snapshot(store, back)
+    kinds = back.vertices.groupBy(F.concat(F.lit("entities "), "entity_type").alias("kind")).agg(F.count("*").alias("n"))
+    rest = spark.createDataFrame([("relationships", back.edges.count()), ("upserted", store.read("entities").count())], "kind string, n long")
+    return kinds.unionByName(rest)
+
+
+@query("SELECT * FROM (VALUES ('organization', 6), ('location', 1), ('threat', 1), ('edges', 8)) t(kind, n)")
+def seed_counts(spark, d):
+    """The trial graph, where the tables hold none."""
+    from .sources.seed import seeded
+
+    g = graph_of(spark, d)
+    s = seeded(spark, g.vertices.where("false"), g.edges.where("false"))
+    e = s.edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("kind"), "n")
+    return s.vertices.groupBy(F.col("entity_type").alias("kind")).agg(F.count("*").alias("n")).unionByName(e)
+
+
+@query(f"WITH {ENT} SELECT 'upsert_entity' AS op, id AS entity_key, 'pending' AS status, name FROM ent")
+def outbox_of_changes(spark, d):
+    rows = O.outbox_rows(latest_entities(spark, d).select("id", "name", "entity_type"), "upsert_entity")
+    return rows.select("op", "entity_key", "status", F.get_json_object("payload", "$.name").alias("name"))
+
+
+@query(f"WITH {ENT} SELECT id, name FROM ent WHERE id IN (SELECT min(id) FROM ent GROUP BY entity_type) ORDER BY id LIMIT 50")
+def cypher_unwind(spark, d):
+    """A list given as a parameter, unwound and looked up."""
+    from .plans.cypher import compile_query
+
+    g = graph_of(spark, d)
+    ids = [r[0] for r in g.vertices.groupBy("entity_type").agg(F.min("id")).select("min(id)").collect()]
+    return compile_query(g, "UNWIND $ids AS i MATCH (n {id: i}) RETURN n.id AS id, n.name AS name ORDER BY id LIMIT 50", {"ids": ids})
+
+
+#: Texts and whether they are a bounded read.
+_CHECKS = (
+    ("MATCH (n) RETURN n.id AS id LIMIT 10", True), ("MATCH (n) RETURN n.id AS id", False), ("MATCH (n) DELETE n", False), ("", False), ("CALL db.labels()", False),
+    ("MATCH (n) RETURN n.id AS id LIMIT 5; MATCH (m) RETURN m.id AS id LIMIT 5", False), ("MATCH (a)-[r:OWNS]->(b) RETURN a.id AS id LIMIT 10", True), ("MATCH (a)-[r:HATES]->(b) RETURN a.id AS id LIMIT 10", False),
+    ("MATCH (a)-[*1..9]-(b) RETURN a.id AS id LIMIT 10", False), ("MATCH (n) WHERE n.id = $x RETURN n.id AS id LIMIT 10", False), ("MATCH (n) RETURN n.id AS id LIMIT 100000", False),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(ok).lower()})" for t, ok in _CHECKS) + ") t(text, accepted)")
+def cypher_checks(spark, d):
+    from .plans.cypher import Rejected, validate
+
+    def ok(text: str) -> bool:
+        try:
+            validate(text)
+        except Rejected:
+            return False
+        return True
+
+    return spark.createDataFrame([(t, ok(t)) for t, _ in _CHECKS], "text string, accepted boolean")
+
+
+@query(f"WITH {ADJ}, i AS (SELECT min(id) AS id FROM ent WHERE entity_type = 'threat') SELECT source, rel, target FROM (SELECT a.src AS source, a.rel_type AS rel, a.dst AS target FROM i JOIN adj a ON a.src = i.id ORDER BY source, target, rel LIMIT 20)")
+def agent_loop(spark, d):
+    """The default plan of the search loop, once, for the first threat."""
+    from .plans.cypher import search_loop
+
+    g = graph_of(spark, d)
+    first = U.by_type(g.vertices, "threat").agg(F.min("id")).head()[0]
+    rows = [r for h in search_loop(g, [first] if first else [], row_limit=20)["rounds"] for r in h.get("rows", ())]
+    return spark.createDataFrame([(r["source"], r["rel"], r["target"]) for r in rows], "source string, rel string, target string")
+
+
+@query(f"WITH {ADJ}, {_EXPOSED} SELECT e.id, e.name, r.hops FROM ent e JOIN reach r ON r.node = e.id WHERE e.entity_type = 'organization' AND r.hops <= 5 ORDER BY r.hops, e.id LIMIT 10")
+def most_exposed(spark, d):
+    g = graph_of(spark, d)
+    return G.exposure_report(g).where("exposure_score > 0").orderBy(F.desc("exposure_score"), "id").limit(10).select("id", "name", "hops")
+
+
+@query(f"WITH {ENT}, m AS (SELECT resolved_entity_id AS id, text, confidence FROM mentions WHERE resolved_entity_id IS NOT NULL AND text IS NOT NULL), {surfaces('sf', 'SELECT text AS x FROM mentions UNION ALL SELECT name FROM ent')} SELECT DISTINCT m.id AS entity_id, a.s AS normalized_alias FROM m JOIN ent e ON e.id = m.id JOIN sf a ON a.x = m.text LEFT JOIN sf b ON b.x = e.name WHERE a.s <> '' AND a.s <> coalesce(b.s, '')")
+def alias_write_back(spark, d):
+    """Surfaces of resolved mentions that are not the name of their entity."""
+    m = table(spark, d, "mentions").select("mention_id", "text", F.col("resolved_entity_id").alias("id"), "confidence")
+    dec = m.where("id IS NOT NULL").select("mention_id", F.lit("LINKED").alias("status"), "id")
+    return E.surface_aliases(dec, m.drop("id"), latest_entities(spark, d)).select("entity_id", "normalized_alias").distinct()
+
+
+@query("SELECT * FROM (VALUES (1, 'gulf shipping'), (2, 'gulf shipping latest developments'), (3, 'gulf shipping risk assessment')) t(n, search)")
+def query_expansion(spark, d):
+    return spark.createDataFrame(list(enumerate(D.expand_query("  gulf   shipping "), 1)), "n int, search string")
+
+
+@query("SELECT * FROM (VALUES (1, 'coordinator'), (2, 'collect'), (3, 'analyse'), (4, 'assess'), (5, 'brief')) t(n, step)")
+def workflow_steps(spark, d):
+    """A whole run from question to briefing; the steps that it yields, one after another."""
+    from .plans.workflow import stream
+
+    g = graph_of(spark, d)
+    docs = table(spark, d, "search_results").select("result_id", "url", "content", "score")
+    search = lambda q: docs.where(F.contains(F.lower("content"), F.lit(q.split()[0].lower())))
+    steps = [name for name, _ in stream(g, "gulf shipping", search, K.threat_catalogue(latest_entities(spark, d)))]
+    return spark.createDataFrame(list(enumerate(steps, 1)), "n int, step string")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(("EXECUTIVE SUMMARY", "KEY FINDINGS", "GRAPH", "RISK", "EXPOSURE", "POSTURE", "RECOMMENDATIONS", "OUTLOOK"), 1)) + ") t(n, section)")
+def briefing_sections(spark, d):
+    """The sections of a briefing without any result, as its text holds them."""
+    from .plans.workflow import briefing
+
+    heads = re.findall(r"^(\d+)\. ([A-Z ]+)$", briefing("gulf", None, None, []), re.M)
+    return spark.createDataFrame([(int(n), h) for n, h in heads], "n int, section string")

@@ -86,6 +86,14 @@ def review_queue(decisions: DataFrame, ranked: DataFrame, keep: int = 10) -> Dat
     return decisions.where("status IN ('AMBIGUOUS', 'NIL')").select("mention_id").join(c, "mention_id", "left").withColumn("status", F.lit("pending"))
 
 
+def surface_aliases(decisions: DataFrame, mentions: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(entity_id, alias, normalized_alias, confidence, verified): texts of linked mentions whose surface is not the entity's name."""
+    m = decisions.where("status = 'LINKED'").select("mention_id", F.col("id").alias("entity_id")).join(mentions.select("mention_id", F.col("text").alias("alias"), "confidence"), "mention_id")
+    own = vertices.select(F.col("id").alias("entity_id"), normalize_surface(F.col("name")).alias("__own"))
+    j = m.join(own, "entity_id").withColumn("normalized_alias", normalize_surface(F.col("alias")))
+    return j.where((F.col("normalized_alias") != "") & ~F.col("normalized_alias").eqNullSafe(F.col("__own"))).select("entity_id", "alias", "normalized_alias", "confidence", F.lit(False).alias("verified"))
+
+
 def pending_reviews(reviews: DataFrame, mentions: DataFrame, status: str = "pending") -> DataFrame:
     """reviews of the status with the columns of their mentions; a review of a mention that is not there has none."""
     own = mentions.drop(*[c for c in reviews.columns if c != "mention_id"])

@@ -63,6 +63,19 @@ def import_snapshot(spark: SparkSession, path: str, vertex_schema: T.StructType,
     return Graph(spark.read.schema(vertex_schema).json(f"{path}/entities"), spark.read.schema(edge_schema).json(f"{path}/relationships"))
 
 
+def restore_snapshot(store, g: Graph) -> int:
+    """Upsert the graph into the tables entities and relationships of a store, edges after entities; again changes nothing."""
+    from .store import upsert
+
+    if not store.version("entities"):
+        store.write("entities", upsert(g.vertices.limit(0), g.vertices), "id")
+    else:
+        store.merge("entities", g.vertices, upsert, "id")
+    if not store.version("relationships"):
+        return store.write("relationships", upsert(g.edges.limit(0), g.edges), "id")
+    return store.merge("relationships", g.edges, upsert, "id")
+
+
 def dot_lines(g: Graph) -> DataFrame:
     """(line): the graph in DOT, without its first and last line."""
     esc = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), '"', r'\\\\"')
