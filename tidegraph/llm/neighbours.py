@@ -30,7 +30,7 @@ MEASURED = 512  # queries that are compared with all vectors to set the number o
 WIDE = 8  # parts of the first cut whose leaves are weighed for a vector; doubled while the recall asks for it
 BLOCK = 10_000  # a leaf that holds more is split into blocks, each searched
 ASKED = 60_000  # queries of a block that one task answers; more are split
-TASK_BYTES = 32 << 20  # vectors that a searching task reads
+TASK_BYTES = 8 << 20  # vectors that a searching task reads
 STEPS = 600  # of a classifier's fit
 HIDDEN = (128, 64)  # units of the hidden layers of the two cuts
 

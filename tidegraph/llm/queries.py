@@ -14,7 +14,7 @@ from .near_copies import expand_pairs, groups, near_copies
 from .neighbours import similar_vectors
 from .packing import fill_report, pack_documents
 from .spam import line_shares, spam_pages
-from .survivors import build_survivors, judge_descriptions, judge_values, pick_fields
+from .survivors import FILLER, LEAST, SHARE, STOCK, build_survivors, judge_descriptions, judge_values, pick_fields
 from .tokens import count_corpus, decode_corpus, encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,5 +132,20 @@ r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n
 SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM r WHERE n <= 10 AND c >= 0.9"""
 
 
+#: The rule of the survivors, row by row, with the texts and patterns that say nothing as they stand in the operator.
+_SURVIVORS = (
+    r"""WITH t AS (SELECT trim(regexp_replace(lower(source), '[_-]', ' ', 'g')) AS k, max(trust) AS trust FROM source_trust GROUP BY 1),
+e AS (SELECT e.id, record_no, name, confidence, coalesce(trust, 0) AS trust, CASE WHEN created_at >= TIMESTAMP '2023-01-01' AND created_at < TIMESTAMP '2026-06-01' THEN created_at END AS c, trim(regexp_replace(description, '[\s\x{85}\p{Z}\x{200b}]+', ' ', 'g')) AS d
+ FROM entities e LEFT JOIN t ON t.k = trim(regexp_replace(lower(source), '[_-]', ' ', 'g')) WHERE e.id IS NOT NULL),
+sp AS (SELECT lower(d) AS l FROM e WHERE d IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) >= greatest(LEAST_, SHARE_ * (SELECT count(d) FROM e))),
+nm AS (SELECT DISTINCT id, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(n), '[^\p{L}\p{N}]+'), lambda w: w <> '')), ' ') AS b FROM (SELECT id, unnest(list_concat([name, canonical_name], coalesce(aliases, []))) AS n FROM entities) WHERE trim(n) <> ''),
+u AS (SELECT *, d IS NOT NULL AND regexp_replace(lower(d), '[^\p{L}\p{N}]+', '', 'g') NOT IN ('', STOCK_) AND NOT regexp_matches(lower(d), 'FILLER_') AND lower(d) NOT IN (SELECT l FROM sp)
+ AND (id, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(d), '[^\p{L}\p{N}]+'), lambda w: w <> '')), ' ')) NOT IN (SELECT (id, b) FROM nm) AND coalesce(levenshtein(lower(d), lower(name)) > 3, true) AS good FROM e),
+f AS (SELECT id, 'source' AS field_name, record_no, [-trust, -coalesce(epoch_us(c), -4611686018427387904), record_no] AS k FROM u UNION ALL SELECT id, 'confidence', record_no, [-trust, -coalesce(epoch_us(c), -4611686018427387904), record_no] FROM u WHERE confidence BETWEEN 0 AND 1
+ UNION ALL SELECT id, 'created_at', record_no, [-epoch_us(c), -trust, record_no] FROM u WHERE c IS NOT NULL UNION ALL SELECT id, 'description', record_no, [-length(d), -trust, -coalesce(epoch_us(c), -4611686018427387904), record_no] FROM u WHERE good)
+SELECT id, field_name, record_no FROM (SELECT *, row_number() OVER (PARTITION BY id, field_name ORDER BY k) AS n FROM f WHERE id IN (SELECT id FROM e GROUP BY id HAVING count(*) > 1)) WHERE n = 1"""
+    .replace("STOCK_", ", ".join(f"'{w}'" for w in STOCK)).replace("FILLER_", FILLER).replace("LEAST_", str(LEAST)).replace("SHARE_", str(SHARE))
+)
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _SIMILAR}
+    return {"p1_found": _SURVIVORS, "p5_found": _SIMILAR, "p7_round_trip": "SELECT doc_id, true AS same FROM documents"}
