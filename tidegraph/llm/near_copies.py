@@ -127,37 +127,47 @@ def classes(docs: DataFrame, key: str, parts: list[str], least: int = 0, counted
     return df.where("__words != ''").select(key, F.xxhash64("__words").alias("cid"), F.col("__words").alias("words"))
 
 
-def candidate_pairs(texts: DataFrame, some: DataFrame, total: int, similarity: float, n: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """(a, b), a < b: pairs of classes that no step of the comparison dropped.
+def sketches(texts: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, cid, bands, s1, s2) of each text of (key, cid, words): the keys of its bands and its two words of small MinHash values.
 
-    texts: (cid, words), about `total` rows; some: one in SAMPLED of them, by which heavy keys are known before."""
+    bands is null for a copy of a text that the task has seen."""
 
     def sketch(batches):
-        seen: set[int] = set()  # copies within a task are hashed and sent once
+        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(1).to_pylist()
             at = [i for i, c in enumerate(ids) if c not in seen and not seen.add(c)]
             if len(seen) > 2_000_000:
                 seen.clear()
-            if not at:
-                continue
-            m = minhash(batch.column(1).take(pa.array(at)).to_pylist(), n)
-            key = np.zeros((len(at), BANDS), dtype=np.uint64)
+            m = minhash(batch.column(2).take(pa.array(at, type=pa.int64())).to_pylist(), n) if at else np.zeros((0, len(_MUL)), dtype=np.uint32)
+            band = np.zeros((len(at), BANDS), dtype=np.uint64)
             for r in range(ROWS):
-                key = (key ^ m[:, r : BANDS * ROWS : ROWS]) * _MIX
-                key ^= key >> np.uint64(31)
-            key = (key + np.arange(BANDS, dtype=np.uint64)) * _MIX
+                band = (band ^ m[:, r : BANDS * ROWS : ROWS]) * _MIX
+                band ^= band >> np.uint64(31)
+            band = (band + np.arange(BANDS, dtype=np.uint64)) * _MIX
             low = (m[:, BANDS * ROWS :] & np.uint32(15)).astype(np.uint64) << (np.arange(SLOTS, dtype=np.uint64) % np.uint64(16) * np.uint64(4))
-            s = [np.bitwise_or.reduce(low[:, i : i + 16], axis=1).view(np.int64) for i in (0, 16)]
-            own = np.array([ids[i] for i in at], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64).ravel()), *[pa.array(np.repeat(x, BANDS)) for x in (own, *s)]], names=["key", "cid", "s1", "s2"]
-            )
-
-    banded = lambda x: x.select("cid", "words").mapInArrow(sketch, "key long, cid long, s1 long, s2 long")
-    heavy = F.broadcast(heavy_keys(banded(some).select("key", "cid").distinct(), "key", total * BANDS // SAMPLED, max(1, TOGETHER // SAMPLED)))
-    rows = banded(texts)
-    rows = rows.repartition(spread(texts.sparkSession, total * BANDS * 40, TASK_BYTES), "key").dropDuplicates(["key", "cid"])
+            first = np.zeros(len(ids), dtype=bool)
+            first[at] = True
+            s = []
+            for i in (0, 16):
+                x = np.zeros(len(ids), dtype=np.int64)
+                x[first] = np.bitwise_or.reduce(low[:, i : i + 16], axis=1).view(np.int64)
+                s.append(pa.array(x))
+            ends = pa.array(np.concatenate([[0], np.cumsum(first) * BANDS]).astype(np.int32), mask=None)
+            flat = pa.ListArray.from_arrays(ends, pa.array(band.view(np.int64).ravel()), mask=pa.array(~first))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, *s], names=[key, "cid", "bands", "s1", "s2"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, "cid", "words").mapInArrow(sketch, f"`{key}` {kind}, cid long, bands array<long>, s1 long, s2 long")
+
+
+def candidate_pairs(sketched: DataFrame, total: int, similarity: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """(a, b), a < b: pairs of classes that no step of the comparison dropped. sketched: a written table of about `total` rows."""
+    held = sketched.where("bands IS NOT NULL")
+    some = held.where(F.pmod("cid", F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("key"), "cid").distinct()
+    heavy = F.broadcast(heavy_keys(some, "key", total * BANDS // SAMPLED, max(1, TOGETHER // SAMPLED)))
+    rows = held.select(F.explode("bands").alias("key"), "cid", "s1", "s2")
+    rows = rows.repartition(spread(sketched.sparkSession, total * BANDS * 40, TASK_BYTES), "key").dropDuplicates(["key", "cid"])
     apart = rows.join(heavy.select("key"), "key", "left_anti")
     near = _likely(similarity, tolerance)
     light = apart.alias("l").join(apart.alias("r"), F.expr("l.key = r.key AND l.cid < r.cid") & near)
@@ -219,9 +229,9 @@ def near_copies(docs: DataFrame, key: str, parts: list[str], similarity: float =
     Exact copies share a class and are not paired one by one. Null keys stay keys; null and wordless
     texts are in no class; a text of fewer words than n is one run. Repeated keys stay repeated."""
     texts = classes(docs, key, parts, least, counted)
-    some = classes(docs.where(F.pmod(F.xxhash64(*[F.col(f"`{p}`") for p in parts]), F.lit(SAMPLED)) == 0), key, parts, least, counted)
-    pairs = checkpoint(candidate_pairs(texts, some, docs.count(), similarity, n, tolerance))
-    return checkpoint(texts.select(key, "cid")), checkpoint(verified_pairs(texts, pairs, similarity, n))
+    sketched = checkpoint(sketches(texts, key, n))
+    pairs = checkpoint(candidate_pairs(sketched, sketched.count(), similarity, tolerance))
+    return sketched.select(key, "cid"), checkpoint(verified_pairs(texts, pairs, similarity, n))
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame, key: str, expand: int = EXPAND) -> DataFrame:
