@@ -51,6 +51,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the files of shuffles that no plan refers to any more be removed now, before a step that writes much."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; used to check a side before a broadcast hint."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
