@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.let import let
 from ..operators.components import connected_components
 from ..operators.skew import heavy_keys
-from ..session import BROADCAST_LIMIT, checkpoint, spread
+from ..session import BROADCAST_LIMIT, checkpoint, release, spread
 
 BANDS, ROWS = 32, 3
 SLOTS, BITS = 32, 4  # the sketch: values of a few bits, compared in steps of STEP
@@ -231,6 +231,7 @@ def near_copies(docs: DataFrame, key: str, parts: list[str], similarity: float =
     texts = classes(docs, key, parts, least, counted)
     sketched = checkpoint(sketches(texts, key, n))
     pairs = checkpoint(candidate_pairs(sketched, sketched.count(), similarity, tolerance))
+    release(docs.sparkSession)  # the bands, the largest shuffle, are done with
     return sketched.select(key, "cid"), checkpoint(verified_pairs(texts, pairs, similarity, n))
 
 
