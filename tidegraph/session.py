@@ -52,10 +52,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the files of shuffles that no plan refers to any more be removed now, before a step that writes much."""
+    """Let the files of shuffles that no plan refers to any more be removed now, before a step that writes much.
+
+    The driver's own references go first, which the gateway passes on about once a second."""
     import gc
+    import time
 
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
