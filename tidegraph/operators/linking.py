@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.let import let
 from ..functions.text import cosine, fuse, normalize_surface, trigram_similarity, trigrams
 from ..session import BROADCAST_LIMIT, checkpoint, estimated_bytes, spread
 from .graph import Graph, bfs
@@ -52,16 +53,16 @@ def fuzzy_candidates(mentions: DataFrame, forms: DataFrame, least: float = LEAST
     times fewer, can't reach `least`, so neither is looked at and nothing is lost. Texts are distinct, so a name mentioned
     by a third of all rows is one text; trigrams that many texts hold are split."""
     m = mentions.select("mention_id", normalize_surface(F.col("text")).alias("t")).where("t != ''")
-    texts = checkpoint(m.select("t").distinct())
-    own = forms.select("form").distinct()
-    left = texts.select("t", F.size(trigrams(F.col("t"))).alias("n"), F.explode(trigrams(F.col("t"))).alias("g"))
-    right = own.select("form", F.size(trigrams(F.col("form"))).alias("k"), F.explode(trigrams(F.col("form"))).alias("g"))
-    met = skewed_join(left, right, "g", 16 * texts.count()).where((F.least("n", "k") >= least * F.greatest("n", "k")))
-    shared = met.groupBy("t", "form", "n", "k").agg(F.count("*").alias("c"))
-    sims = shared.withColumn("fuzzy", F.col("c") / (F.col("n") + F.col("k") - F.col("c"))).where(F.col("fuzzy") >= least)
-    best = sims.join(forms, "form").groupBy("t", "id").agg(F.max("fuzzy").alias("fuzzy"))
-    w = Window.partitionBy("t").orderBy(F.desc("fuzzy"), "id")
-    best = best.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).drop("__n")
+    # numbers stand for texts and forms in the join, and come from written tables, so that they are the same in every task
+    texts = checkpoint(m.select("t").distinct().withColumn("ti", F.monotonically_increasing_id()))
+    own = checkpoint(forms.select("form").distinct().withColumn("fi", F.monotonically_increasing_id()))
+    grams = lambda x, c, i, n: let(x.select(i, c), {"__g": trigrams(F.col(c))}).select(i, F.size("__g").alias(n), F.explode("__g").alias("g")).withColumn("g", F.xxhash64("g"))
+    met = skewed_join(grams(texts, "t", "ti", "n"), grams(own, "form", "fi", "k"), "g", 16 * texts.count()).where(F.least("n", "k") >= least * F.greatest("n", "k"))
+    shared = met.groupBy("ti", "fi", "n", "k").agg(F.count("*").alias("c"))
+    sims = shared.select("ti", "fi", (F.col("c") / (F.col("n") + F.col("k") - F.col("c"))).alias("fuzzy")).where(F.col("fuzzy") >= least)
+    best = sims.join(own.join(forms.select("form", "id"), "form").select("fi", "id"), "fi").groupBy("ti", "id").agg(F.max("fuzzy").alias("fuzzy"))
+    w = Window.partitionBy("ti").orderBy(F.desc("fuzzy"), "id")
+    best = best.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).join(texts, "ti").select("t", "id", "fuzzy")
     return m.join(best, "t").select("mention_id", "id", F.when(F.col("fuzzy") == 1, 1.0).otherwise(0.0).alias("exact"), "fuzzy")
 
 
