@@ -87,6 +87,18 @@ vs AS (SELECT mention_id, id, list_dot_product(vq.v, ve.v) / (sqrt(list_dot_prod
 vr AS (SELECT mention_id, id, round(c, 6) AS vector FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY round(c, 6) DESC, id) AS r FROM vs WHERE c > 0 AND NOT isnan(c)) WHERE r <= 20)"""
 
 
+@query(
+    """WITH q AS (SELECT vec_id AS mention_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT mention_id, vec_id AS id, list_dot_product(q.v::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.v::DOUBLE[], q.v::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS c
+FROM q, embeddings e) SELECT mention_id, id, round(c, 6) AS vector FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY c DESC, id) AS n FROM s WHERE c > 0) WHERE n <= 5"""
+)
+def cosine_topk(spark, d):
+    """The stated query set: vectors whose id is divisible by 20."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("mention_id"), F.col("embedding").alias("v"))
+    got = L.vector_candidates(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), top=5)
+    return got.withColumn("vector", F.round("vector", 6))
+
+
 @query(
     f"""WITH {BASE}, q AS (SELECT * FROM asked WHERE mention_id % 200 = 0), bt AS (SELECT DISTINCT t FROM q), {BM25}, {_VEC},
 u AS (SELECT mention_id, id, max(fulltext) AS fulltext, max(vector) AS vector FROM (SELECT mention_id, id, fulltext, 0 AS vector FROM q JOIN bm USING (t) UNION ALL SELECT mention_id, id, 0, vector FROM vr) GROUP BY ALL)
