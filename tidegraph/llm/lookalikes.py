@@ -9,6 +9,7 @@ that has no Latin look-alike is truly of that script and stays.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -31,6 +32,8 @@ LOOKALIKES = {
     # Armenian and Latin variants
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ɡ": "g", "ɑ": "a", "ɩ": "i", "ʟ": "l", "ᴏ": "o", "ꜱ": "s",
 }
+# small capitals, by their names
+LOOKALIKES |= {chr(n): m[1].lower() for n in range(0x250, 0x10000) if (m := re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(n), "")))}
 #: Of these the small forms differ from the Latin letter; alone they don't make a word Latin.
 LOOSE = "гкмнтв"
 #: Characters that no table entry concerns: printable ASCII, composed Latin letters, Han, kana, Hangul syllables.
