@@ -258,6 +258,23 @@ def test_links(spark):
     assert name_links.link_names(m, e.where("false"), short).count() == 0
 
 
+def test_links_of_names_without_rare_words(spark):
+    """A name of which many entities share every word is linked in every spelling; a text that several of them fit is not."""
+    given, family = ("Victoria", "Gregory", "Edward", "Harold", "Miranda", "Leonard"), ("Bonaventure", "Cadwallader", "Drummond", "Eglantine", "Fitzgerald", "Gathercole")
+    e = [(f"{g[0]}{f[0]}", "person", f"{g} {f}", None) for g in given for f in family]
+    e += [(f"{a[0]}{b[0]}{c[0]}", "organization", f"{a} {b} {c}", None) for a in ("Northern", "Eastern", "United", "General", "Pacific") for b in ("Satellite", "Marine", "Shipping") for c in ("Holdings", "Limited")]
+    e += [("s", "location", "United", None)]
+    e = spark.createDataFrame(e, "id string, entity_type string, name string, aliases array<string>")
+    short = spark.createDataFrame([("Holdings", "Hldgs", "word"), ("Edward", "Ned", "given_name")], "full_form string, short_form string, form_kind string")
+    cases = [
+        ("Victoria Drummond", "VD"), ("DRUMMOND, VICTORIA", "VD"), ("V. Drummond", "VD"), ("Dr Harold Fitzgerald", "HF"), ("Ned Eglantine", "EE"), ("Gregory Cadwalader", "GC"), ("Drummond", None), ("Walter Drummond", None),
+        ("United Marine Hldgs", "UMH"), ("Pacific Shiping Limited", "PSL"), ("Pacific Shipping", None), ("United", "s"), ("Marine Satellite Limited", None), ("the", None),
+    ]
+    m = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "mention_id int, text string")
+    got = {r.mention_id: r.id for r in name_links.link_names(m, e, short).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(cases) if x}
+
+
 def test_links_of_long_names(spark):
     """Names of thirteen words and of five hundred are linked by a misspelt text like any other; a longer text names nobody by its parts."""
     rng = random.Random(4)

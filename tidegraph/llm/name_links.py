@@ -4,7 +4,8 @@ A name is split into its core, the rare words joined, and its common words (give
 business, kinds of place), told apart by how many catalogue entries share a word. Cores are
 matched within k edits: a catalogue core is cut into k+1 segments, one of which must occur in any
 variant, shifted by at most the edits around it. Hits are verified by banded edit distance, and the
-common words must agree. A text is linked to the one entity of least cost, or to none.
+common words must agree. A name all of whose words are common has no core: it is found by each word
+beside the beginning or end of another. A text is linked to the one entity of least cost, or to none.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ class Book:
         ws = words(text)
         rare = [w for w in ws if not self.is_common(w)]
         if not rare:
-            return []
+            return [(k, ws) for k in self.whole(ws, ws, False)]
         found = {}
         letters = sum(map(len, rare))
 
@@ -135,6 +136,9 @@ class Book:
         fixed = {w: r for w in rare if (r := self.repaired(w))}
         if fixed and len(fixed) < len(rare):
             add([w for w in rare if w not in fixed], rest + list(fixed.values()))
+        whole = [w if self.is_common(w) else fixed.get(w) or self.short_for(w) for w in ws]
+        if all(whole):
+            found |= {(k, tuple(ws)): None for k in self.whole(ws, whole, False)}
         if len(rare) > 1:
             scripts = {w.isascii() for w in rare}
             if len(scripts) > 1:
@@ -149,9 +153,34 @@ class Book:
             for w in rare:  # an abbreviated common word beside the core; folding at most halves what is left
                 if self.longest is not None and letters - len(w) > 2 * (self.longest + EDITS):
                     continue
-                if len(w) <= 5 and any(self.stands(w, c) for c in self.by_first.get(w[0], [])):
+                if self.short_for(w):
                     add([x for x in rare if x != w], rest + [w])
-        return list(found)
+        return [(c, list(r)) for c, r in found]
+
+    def short_for(self, w: str) -> str | None:
+        """The initial of w if it may abbreviate a common word."""
+        return w[0] if len(w) <= 5 and any(self.stands(w, c) for c in self.by_first.get(w[0], [])) else None
+
+    def whole(self, ws: list[str], stand: list[str], form: bool) -> list[str]:
+        """Keys, which begin with a blank, of a name without rare words; stand: the common words or initials that its words stand for.
+
+        All words of a text but titles and legal forms must be in a form that it names. So a text has keys of each word and its
+        neighbour, and a form those of all pairs; a word is known by its full forms too, its fellow by its first or last letters."""
+        if not ws:
+            return []
+        less = [w for w in stand if w not in TITLES and w not in LEGAL and not any(x in LEGAL for x in self.short.get(w, ()))] or stand
+        fulls = [{w} | self.short.get(w, set()) for w in less]
+        out = set()
+        if form or len(less) == 1:
+            out |= {f" {x}" for xs in fulls for x in xs}
+        for i, xs in enumerate(fulls):
+            for j in range(len(fulls)) if form else [i - 1]:
+                if i != j:
+                    ends = {e for y in fulls[j] for e in ([y[:1], y[:3], "~" + y[-3:]] if form else [y] if len(y) == 1 else [y[:3], "~" + y[-3:]])}
+                    out |= {f" {x} {e}" for x in xs for e in ends if form or len(x) > 1}
+        if len(less) > 1 and all(len(w) == 1 for w in less):  # initials alone
+            out.add(" " + " ".join(sorted(less)))
+        return list(out)
 
     def stands(self, m: str, e: str) -> bool:
         """m is an abbreviation of e: begins alike, its letters in order."""
@@ -298,6 +327,8 @@ def link_names(mentions: DataFrame, entities: DataFrame, short_names: DataFrame,
                 if core:
                     rows.append((core, i, bool(person), [w for w in ws if book.is_common(w)]))
                 fixed = {w: r for w in ws if not book.is_common(w) and (r := book.repaired(w))}
+                if all(book.is_common(w) or w in fixed for w in ws):
+                    rows += [(k, i, bool(person), ws) for k in book.whole(ws, [fixed.get(w, w) for w in ws], True)]
                 if fixed and (c2 := fold("".join(w for w in ws if not book.is_common(w) and w not in fixed))):
                     rows.append((c2, i, bool(person), [fixed.get(w, w) for w in ws if book.is_common(w) or w in fixed]))
             yield pd.DataFrame(rows, columns=["core", "id", "person", "e"])
@@ -308,7 +339,7 @@ def link_names(mentions: DataFrame, entities: DataFrame, short_names: DataFrame,
             yield pd.DataFrame(rows, columns=["h", "core", "m"])
 
     catalogue = checkpoint(forms.mapInPandas(parse_forms, "core string, id string, person boolean, e array<string>").distinct())
-    book.longest = catalogue.agg(F.max(F.length("core"))).head()[0] or 0
+    book.longest = catalogue.where("core NOT LIKE ' %'").agg(F.max(F.length("core"))).head()[0] or 0
     rows = mentions.where(F.trim(text) != "").select(F.col(key), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     texts = rows.select("h", "t").dropDuplicates(["h"])
     variants = checkpoint(texts.mapInPandas(parse_texts, "h long, core string, m array<string>"))
@@ -326,8 +357,9 @@ def link_names(mentions: DataFrame, entities: DataFrame, short_names: DataFrame,
 
         return run
 
-    probes = cores.mapInPandas(keys(probe_keys, "core"), "key long, core string")
-    index = named.mapInPandas(keys(index_keys, "form"), "key long, form string")
+    cut = lambda c: c.where("core NOT LIKE ' %'")
+    probes = cut(cores).mapInPandas(keys(probe_keys, "core"), "key long, core string")
+    index = cut(named).mapInPandas(keys(index_keys, "form"), "key long, form string")
     near = F.levenshtein("core", "form", EDITS)
     reach = F.when(F.length("form") <= 6, 1).otherwise(EDITS)
     indexed = (EDITS + 1) * known
