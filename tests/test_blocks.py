@@ -5,7 +5,7 @@ from unittest import mock
 
 import pytest
 
-from tidegraph.operators import blocks, linking
+from tidegraph.operators import blocks, graph, linking
 
 
 def _both(run):
@@ -56,3 +56,14 @@ def test_vectors_without_all_pairs(spark):
     assert found == joined and len(found) > 90
     with mock.patch.object(linking, "cosine", side_effect=AssertionError):  # no pair is compared row by row
         assert linking.vector_candidates(q, e, top=5, digits=6).count() == len(found)
+
+
+def test_level_sizes_without_pairs_of_nodes(spark):
+    rng = random.Random(6)
+    adj = spark.createDataFrame([(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(200)], "src string, dst string")
+    roots = spark.createDataFrame([(f"n{i}",) for i in range(150)] + [("none",)], "id string")
+    found, joined = _both(lambda: graph.level_sizes(adj, roots, 4))
+    assert found == joined and ("none", 0, 1) in found and max(r[1] for r in found) == 4
+    with mock.patch.object(graph, "bfs", side_effect=AssertionError):
+        assert graph.level_sizes(adj, roots, 4).count() == len(found)
+    assert graph.level_sizes(adj.where("false"), roots, 4).count() == 151
