@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tidegraph import catalog
 from tidegraph.operators import blocks, graph, linking
 
 
@@ -111,3 +112,16 @@ def test_decisions_of_arrays_are_those_of_rows(linked):
     empty = graph.Graph(g.vertices.where("false"), g.edges)
     assert linking.best_linked(m, empty, F.col("document_id")).count() == 0
     assert linking.decide(linking.best_linked(m, empty, F.col("document_id")), m).where("status = 'NIL'").count() == m.count()
+
+
+@pytest.mark.parametrize("name", ["link_decision", "review_queue", "review_join", "coherence_scores", "reranked_candidates"])
+def test_queries_of_linking_write_no_row_of_every_candidate(spark, data, name):
+    """They failed at 0.1 GB by disk or the driver's memory."""
+    gone = [mock.patch.object(linking, f, side_effect=AssertionError) for f in ("merge_routes", "rerank", "coherence", "bfs")]
+    for p in gone:
+        p.start()
+    try:
+        assert catalog.queries()[name](spark, data).count() > 0
+    finally:
+        for p in gone:
+            p.stop()
