@@ -72,6 +72,21 @@ def test_level_sizes_without_pairs_of_nodes(spark):
     assert graph.level_sizes(adj.where("false"), roots, 4).count() == 151
 
 
+def test_trees_of_paths_without_rows_of_steps(spark):
+    """shortest_path_trees failed by disk at 0.1 GB: every level and every step of every path was written."""
+    rng = random.Random(7)
+    v = spark.createDataFrame([(f"n{i}", rng.choice([f"name {i}", "", None])) for i in range(150)], "id string, name string")
+    e = [(f"r{i}", f"n{rng.choice((3, rng.randrange(150)))}", f"n{rng.randrange(160)}", "X", False) for i in range(230)] + [("l", "n5", "n5", "X", True)]
+    g = graph.Graph(v, spark.createDataFrame(e, "id string, source_id string, target_id string, rel_type string, bidirectional boolean"))
+    roots = spark.createDataFrame([(f"n{i}",) for i in range(0, 150, 2)] + [("n0",), ("none",)], "id string")
+    found, joined = _both(lambda: graph.path_trees(g, roots, 4))
+    assert found == joined and ("none", "none", 0, "none", "none") in found and max(r[2] for r in found) == 4
+    with mock.patch.object(graph, "bfs", side_effect=AssertionError), mock.patch.object(graph, "with_names", side_effect=AssertionError):
+        assert sorted(map(tuple, graph.path_trees(g, roots, 4).collect())) == found
+    assert graph.path_trees(graph.Graph(v, g.edges.where("false")), roots, 4).count() == 76
+    assert graph.path_trees(g, roots.where("false"), 4).count() == 0
+
+
 @pytest.fixture(scope="module")
 def linked(spark, names):
     """(mentions, graph) of names, ids as texts, types of every kind, groups of many and of one, hubs and loops."""
