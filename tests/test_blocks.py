@@ -3,6 +3,7 @@
 import random
 from unittest import mock
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -140,3 +141,15 @@ def test_queries_of_linking_write_no_row_of_every_candidate(spark, data, name):
     finally:
         for p in gone:
             p.stop()
+
+
+def test_texts_of_the_same_known_words_are_looked_at_once():
+    """review_join failed by its work: every text was looked at anew, also where it differs only in words that no document holds."""
+    bodies = pa.array([f"oslo {'port ' * (i % 3)}n{i}" for i in range(60)])
+    texts = [f"oslo x{i}" for i in range(40)] + ["port oslo", "oslo port", "x1"]
+    words = blocks.Words(bodies, blocks._words(pa.array(texts)), 1.0, 1.2, 0.75)
+    with mock.patch.object(blocks.np, "round", wraps=blocks.np.round) as looked:
+        t, d, s = words.best(texts, 5)
+    assert looked.call_count == 2 and not words.score.any()
+    one = {i: list(zip(d[t == i].tolist(), s[t == i].tolist())) for i in range(43)}
+    assert len(one[0]) == 5 and all(one[i] == one[0] for i in range(40)) and one[40] == one[41] != one[0] and not one[42]
