@@ -153,3 +153,79 @@ def test_texts_of_the_same_known_words_are_looked_at_once():
     assert looked.call_count == 2 and not words.score.any()
     one = {i: list(zip(d[t == i].tolist(), s[t == i].tolist())) for i in range(43)}
     assert len(one[0]) == 5 and all(one[i] == one[0] for i in range(40)) and one[40] == one[41] != one[0] and not one[42]
+
+
+def test_best_documents_of_frequent_words_are_looked_up_once():
+    """coherence_scores failed by an executor's memory and its work: every text was searched for anew, however rare its own word."""
+    rng = random.Random(9)
+    bodies = [" ".join([*rng.sample(["port", "group", "agency", "steel"], rng.randint(1, 3)), f"w{i // 2}", *(["the"] * (i % 3 > 0))]) for i in range(400)]
+    texts = [f"w{i} {rest}" for i in range(210) for rest in ("port group", "agency the", "the", f"w{i + 1}")] + ["port group", "the", "", "none"]
+    words = blocks.Words(pa.array(bodies), blocks._words(pa.array(texts)), 0.6, 1.2, 0.75)
+    assert words.stop[words.number["the"]]
+    with mock.patch.object(words, "_search", wraps=words._search) as looked, mock.patch.object(blocks, "SLICE", 100):
+        t, d, s = words.best(texts, 5)
+    assert looked.call_count == 2  # port group, agency the
+    whole = [words._search(tuple(sorted(x for x in map(words.number.get, set(x.split(" "))) if x is not None and words.df[x])), 5) for x in texts]
+    assert [list(zip(d[t == i].tolist(), s[t == i].tolist())) for i in range(len(texts))] == [list(zip(x.tolist(), y.tolist())) for x, y in whole]
+    assert not words.score.any() and len(t) > 1500
+
+
+@pytest.mark.parametrize("bits", [0, 12 << 20])
+def test_trigrams_of_words_that_stand_together_are_added_up_once(bits):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("bkrst") + rng.choice("aou") for _ in range(rng.randint(1, 4)))
+    tails = [f"{word()} {word()}" for _ in range(4)]
+    spelt = [f"{word()} {rng.choice(tails)}" for _ in range(300)]
+    texts = [*spelt[:60], *(f"{x} {word()}" for x in spelt[:30]), *(" ".join(x.split()[:2]) for x in spelt[:60]), "zz", "aa aa", ""]
+    padded = lambda xs: ["".join(f"  {w} " for w in x.split()) for x in xs]
+    ids = pa.array([[f"e{i % 90:02}"] for i in range(300)], pa.list_(pa.string()))
+    grams = lambda x: {f"  {w} "[i : i + 3] for w in x.split() for i in range(len(w) + 1)}
+    with mock.patch.object(blocks, "SUM_BITS", bits):
+        forms = blocks.Forms(pa.array(padded(spelt)), ids)
+        order = forms.order(pa.array(padded(texts)))
+        assert sorted(order) == list(range(len(texts))) and (len(forms.kept) > 4) == bool(bits)
+        got = [(texts[order[at + i]], forms.ids[e].as_py(), s) for at in range(0, len(texts), 40) for i, e, s in zip(*forms.best(padded([texts[j] for j in order[at : at + 40]]), 0.15, 6))]
+    want = []
+    for t in texts:
+        best: dict[str, float] = {}
+        for f, (e,) in zip(spelt, ids.to_pylist()):
+            a, b = grams(t), grams(f)
+            best[e] = max(best.get(e, 0), len(a & b) / max(1, len(a | b)))
+        want += [(t, e, s) for e, s in sorted(((e, s) for e, s in best.items() if s >= 0.15), key=lambda x: (-x[1], x[0]))[:6]]
+    assert sorted(got) == sorted(want)
+
+
+def test_links_of_small_slices_are_those_of_one(linked):
+    """Texts are linked in the order of their seldom words, a few at a time, and rows still follow their mentions."""
+    m, g = linked
+    held, asked = [], []
+    with mock.patch.object(blocks, "per_block", side_effect=lambda texts, names, *_, **__: held.append(names) or asked.append(texts) or texts.limit(0)):
+        try:
+            linking.best_linked(m, g, F.col("document_id"))
+        except Exception:  # noqa: BLE001  the second step has other columns
+            pass
+    x, y = asked[0].toArrow(), held[0].toArrow()
+    link = lambda: blocks.best_links(x.drop_columns(["__part"]) if "__part" in x.column_names else x, y, 5, 0.15, 20, 0.1, 1.2, 0.75)
+    whole = link()
+    with mock.patch.object(blocks, "SLICE", 7):
+        assert link().equals(whole) and whole.num_rows > 150
+
+
+def test_coherence_is_looked_for_in_documents_only(spark, data):
+    """coherence_scores linked mentions without a document as well, which are coherent with nothing."""
+    with mock.patch.object(linking, "best_linked", wraps=linking.best_linked) as called:
+        assert catalog.queries()["coherence_scores"](spark, data).count() > 0
+    (m, *_), _ = called.call_args
+    assert m.where("document_id IS NULL OR document_id = ''").count() == 0
+
+
+def test_blocks_give_their_memory_back():
+    """coherence_scores was stopped for an executor's memory: its workers kept what a block had freed beside what the next one takes."""
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+    blocks.give_back()
+    before = rss()
+    some = [bytes(20_000) for _ in range(6_000)]
+    last = bytes(20_000)
+    del some
+    blocks.give_back()
+    assert rss() - before < 60 and last
