@@ -229,3 +229,10 @@ def test_blocks_give_their_memory_back():
     del some
     blocks.give_back()
     assert rss() - before < 60 and last
+
+
+def test_review_queue_takes_candidates_apart_nowhere(spark, data):
+    """It was stopped for an executor's memory: the best of all mentions were written, made rows and gathered again."""
+    with mock.patch.object(linking, "ranked_rows", side_effect=AssertionError):
+        q = catalog.queries()["review_queue"](spark, data).collect()
+    assert {r.status for r in q} == {"pending"} and max(r.candidates.count("|") for r in q if r.candidates) == 9

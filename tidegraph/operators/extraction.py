@@ -80,8 +80,10 @@ def new_entities(decisions: DataFrame, mentions: DataFrame) -> DataFrame:
     )
 
 
-def review_queue(decisions: DataFrame, ranked: DataFrame, keep: int = 10) -> DataFrame:
-    """(mention_id, status, candidates): mentions for a person to look at, with their best candidates."""
+def review_queue(decisions: DataFrame, ranked: DataFrame | None = None, keep: int = 10) -> DataFrame:
+    """(mention_id, status, candidates): mentions for a person to look at, with their best candidates, of `ranked` or the array `candidates` of decisions."""
+    if ranked is None:
+        return decisions.where("status IN ('AMBIGUOUS', 'NIL')").select("mention_id", F.slice("candidates", 1, keep).alias("candidates")).withColumn("status", F.lit("pending"))
     c = ranked.where(F.col("rank") <= keep).groupBy("mention_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("candidates"))
     return decisions.where("status IN ('AMBIGUOUS', 'NIL')").select("mention_id").join(c, "mention_id", "left").withColumn("status", F.lit("pending"))
 
